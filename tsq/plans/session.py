@@ -54,3 +54,25 @@ def let(value: Column, body) -> Column:
     from pyspark.sql import functions as F
 
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+SMALL_ROWS = 50_000
+SALTS = 64
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int, spread: str, how: str = "inner"):
+    """``big`` joined with ``small``, of which ``n_small`` rows were counted.
+
+    Up to SMALL_ROWS rows the small side is broadcast, so a hot key of the big side
+    stays where it is.  Beyond, the small side is repeated for SALTS salts and the big
+    side spread over them by a hash of its column ``spread``."""
+    from pyspark.sql import functions as F
+
+    if n_small <= SMALL_ROWS:
+        return big.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        .join(salted, [*on, "_salt"], how)
+        .drop("_salt")
+    )
