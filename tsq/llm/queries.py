@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tsq.llm import encode
+from tsq.llm import distinct, encode, percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _plans(spark: SparkSession, sf_dir: str, agg_name: str) -> list[dict]:
+    """The aggregate plans of one name (fixed tables of a few rows): ``without`` lists
+    become the resource's other labels, in their order."""
+    labels: dict[str, list[str]] = {}
+    schema = _table(spark, sf_dir, "metric_schema").where("column_role = 'label'").orderBy("ordinal")
+    for r in schema.select("resource", "column_name").collect():
+        labels.setdefault(r["resource"], []).append(r["column_name"])
+    plans = _table(spark, sf_dir, "aggregate_plans").where(F.col("agg_name") == agg_name).orderBy("plan_id")
+    return [
+        {
+            "plan_id": r["plan_id"],
+            "by": r["by_labels"]
+            if r["agg_action"] == "with"
+            else [x for x in labels[r["resource"]] if x not in r["by_labels"]],
+            "field": r["field_name"],
+        }
+        for r in plans.collect()
+    ]
+
+
+def _p1_partials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    usage = _table(spark, sf_dir, "usage_samples")
+    plans = _plans(spark, sf_dir, "distinct")
+    return distinct.partial_runs(usage, plans, "ts", distinct.range_bits(usage.count())), plans
+
+
+def p1_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.distinct_counts(*_p1_partials(spark, sf_dir))
+
+
+def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.merge_runs(_p1_partials(spark, sf_dir)[0])
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = _table(spark, sf_dir, "usage_samples")
+    return percentiles.percentiles(percentiles.partial_values(usage, _plans(spark, sf_dir, "quantile"), "ts"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode.encode(docs).select("doc_id", "ids")
@@ -25,10 +65,58 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_ids, p6_decoded)}
+    return {f.__name__: f for f in (p1_distinct, p1_runs, p5_percentiles, p6_ids, p6_decoded)}
+
+
+# Plans 8 to 10: label columns and identifier, as text of the oracle.
+_DISTINCT = {8: (["env"], "client_key"), 9: (["env", "status"], "client_addr"), 10: (["tenant"], "account_no")}
+_QUANTILE = {5: (["route"], "value"), 6: (["env", "status"], "value"), 7: (["tenant"], "bytes_out")}
+
+
+def _key(by: list[str]) -> str:
+    return " || '|' || ".join(f"coalesce({c}, '<null>')" for c in by) or "''"
+
+
+def _distinct_sql() -> str:
+    parts = []
+    for plan_id, (by, field) in _DISTINCT.items():
+        for mask in range(1 << len(by)):
+            kept = [c for i, c in enumerate(by) if mask >> i & 1]
+            for day in ("strftime(ts, '%Y-%m-%d')", "'all'"):
+                groups = ", ".join([*kept, *([day] if "ts" in day else [])])
+                parts.append(
+                    f"SELECT {plan_id} AS plan_id, '{'|'.join(kept)}' AS by_labels, {_key(kept)} AS by_key, "
+                    f"{day} AS on_day, count(DISTINCT {field}) AS n_distinct FROM usage_samples "
+                    f"WHERE {field} IS NOT NULL" + (f" GROUP BY {groups}" if groups else " HAVING count(*) > 0")
+                )
+    union = " UNION ALL ".join(parts)
+    n = "CAST(n_distinct AS DOUBLE)"
+    return f"SELECT *, {n} * ({n} - 1) / 36893488147419103232.0::DOUBLE AS error_bound FROM ({union})"
+
+
+def _quantile_sql() -> str:
+    parts = []
+    for plan_id, (by, field) in _QUANTILE.items():
+        for day in ("strftime(ts, '%Y-%m-%d')", "'all'"):
+            groups = ", ".join([*by, *([day] if "ts" in day else [])])
+            rank = " , ".join(
+                f"max(CASE WHEN r = (n * {p} + 999) // 1000 THEN v END) AS {name}"
+                for p, name in zip(percentiles.PERMILLES, percentiles.NAMES)
+            )
+            parts.append(
+                f"SELECT {plan_id} AS plan_id, by_key, on_day, max(n) AS n_values, {rank}, 0 AS rank_error FROM ("
+                f"SELECT {_key(by)} AS by_key, {day} AS on_day, {', '.join(f'{c} AS g{i}' for i, c in enumerate(by))}, "
+                f"{field}::DOUBLE AS v, row_number() OVER (PARTITION BY {groups} ORDER BY {field}::DOUBLE) AS r, "
+                f"count(*) OVER (PARTITION BY {groups}) AS n FROM usage_samples "
+                f"WHERE {field} IS NOT NULL AND NOT isnan({field}::DOUBLE)"
+                f") GROUP BY by_key, on_day, {', '.join(f'g{i}' for i in range(len(by)))}"
+            )
+    return " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_distinct": _distinct_sql(),
+        "p5_percentiles": _quantile_sql(),
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
