@@ -111,7 +111,7 @@ def spikes(x: np.ndarray, jump: float | None) -> np.ndarray:
         i = np.searchsorted(calm, a)
         sides = [s for s in (x[calm[max(0, i - SIDE) : i]], x[calm[i : i + SIDE]]) if len(s)]
         away = np.array([x[a:e] - np.median(s) for s in sides])
-        if np.all(np.abs(away) > limit) and np.all(np.sign(away) == np.sign(away[0, 0])):
+        if np.all(np.abs(away) > limit) and np.all(np.sign(away) == np.sign(away[0])):
             out[a:e] = True
     return out
 
