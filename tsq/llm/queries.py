@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsq.llm import distinct, encode, percentiles
+from tsq.llm import distinct, encode, mix, percentiles, repetition
+from tsq.plans.aggregates import read_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,23 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _plans(spark: SparkSession, sf_dir: str, agg_name: str) -> list[dict]:
-    """The aggregate plans of one name (fixed tables of a few rows): ``without`` lists
-    become the resource's other labels, in their order."""
-    labels: dict[str, list[str]] = {}
-    schema = _table(spark, sf_dir, "metric_schema").where("column_role = 'label'").orderBy("ordinal")
-    for r in schema.select("resource", "column_name").collect():
-        labels.setdefault(r["resource"], []).append(r["column_name"])
-    plans = _table(spark, sf_dir, "aggregate_plans").where(F.col("agg_name") == agg_name).orderBy("plan_id")
-    return [
-        {
-            "plan_id": r["plan_id"],
-            "by": r["by_labels"]
-            if r["agg_action"] == "with"
-            else [x for x in labels[r["resource"]] if x not in r["by_labels"]],
-            "field": r["field_name"],
-        }
-        for r in plans.collect()
-    ]
+    plans = read_plans(_table(spark, sf_dir, "aggregate_plans"), _table(spark, sf_dir, "metric_schema"))
+    return [p for p in plans if p["agg_name"] == agg_name]
 
 
 def _p1_partials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
@@ -64,8 +50,33 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.decode(p6_ids(spark, sf_dir)).select("doc_id", "text")
 
 
+def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = mix.document_sizes(_table(spark, sf_dir, "documents"))
+    return sizes, mix.rates(sizes, _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(*_p7(spark, sf_dir))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.shares(*_p7(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.found(_table(spark, sf_dir, "documents"))
+
+
+def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measured(_table(spark, sf_dir, "documents"))
+
+
+def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.bands(repetition.measured(_table(spark, sf_dir, "documents"), limit=1.0))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_distinct, p1_runs, p5_percentiles, p6_ids, p6_decoded)}
+    return {f.__name__: f for f in (p1_distinct, p1_runs, p5_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_measures, p8_bands)}
 
 
 # Plans 8 to 10: label columns and identifier, as text of the oracle.
