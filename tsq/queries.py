@@ -8,6 +8,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsq import metric_queries
+from tsq.metric_queries import flagship  # noqa: F401
 from tsq.operators import frequency, rolling, spikes
 from tsq.plans.aggregates import read_plans
 
@@ -19,10 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
 def _plans(spark: SparkSession, sf_dir: str) -> list[dict]:
     return read_plans(table(spark, sf_dir, "aggregate_plans"), table(spark, sf_dir, "metric_schema"))
 
@@ -102,7 +100,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_keys, p3_found, p3_rolling, p4_found, p4_flags)}
+    own = {f.__name__: f for f in (p2_found, p2_keys, p3_found, p3_rolling, p4_found, p4_flags)}
+    return {**metric_queries.QUERIES, **own}
 
 
 _P2_BY = {1: ["tenant"], 2: ["instance"], 3: ["route"], 4: ["tenant", "route"]}
@@ -148,6 +147,7 @@ WITH once AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **metric_queries.SQL,
         "p2_found": f"SELECT plan_id, by_key FROM ({_p2_sql()}) "
         "WHERE n_rows > 0.02 * (SELECT count(*) FROM usage_samples)",
         "p2_keys": _p2_sql(),
