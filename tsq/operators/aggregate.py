@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsq.operators.grid import order_of
+from tsq.operators.grid import floor_div, order_of
 from tsq.timemath import Duration, Instant, from_micros, micros
 
 AGGREGATORS: dict[str, Callable[[Column], Column]] = {
@@ -31,8 +31,7 @@ WINDOW_OPS = ("first", "sum", "avg", "min", "max", "count")
 def bucket(time: Column, kind, size: Duration, origin: Instant) -> Column:
     """Start of the window of ``size`` that holds a time, windows aligned to ``origin``."""
     us, start = size.millis * 1000, origin.millis * 1000
-    number = F.floor((micros(time, kind) - start) / us).cast("long")
-    return from_micros(number * us + start, kind)
+    return from_micros(floor_div(micros(time, kind) - start, us) * us + start, kind)
 
 
 def per_window(
@@ -53,7 +52,7 @@ def per_window(
     if size is not None:
         keys.append(bucket(F.col(time), df.schema[time].dataType, size, origin).alias("window_start"))
     v = F.col(value)
-    reduced = F.min_by(v, F.when(v.isNotNull(), order_of(time, tie))) if op == "first" else AGGREGATORS[op](v)
+    reduced = F.min_by(v, F.when(v.isNotNull(), order_of(df, time, tie))) if op == "first" else AGGREGATORS[op](v)
     return df.groupBy(*keys).agg(reduced.alias(value))
 
 

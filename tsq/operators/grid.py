@@ -18,7 +18,12 @@ from tsq.timemath import TimeRange, from_micros, micros
 
 def slot(time: Column, kind: T.DataType, grid: GridMeta) -> Column:
     """The slot of a time: whole units since the grid's start, rounded down."""
-    return F.floor((micros(time, kind) - grid.start_at.millis * 1000) / (grid.unit.millis * 1000)).cast("long")
+    return floor_div(micros(time, kind) - grid.start_at.millis * 1000, grid.unit.millis * 1000)
+
+
+def floor_div(a: Column, b: int) -> Column:
+    """Whole quotient rounded down, in whole numbers throughout."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b).cast("long"))
 
 
 def slot_start(number: Column, kind: T.DataType, grid: GridMeta) -> Column:
@@ -44,8 +49,16 @@ def first_in(
     )
 
 
-def order_of(time: str, tie: str | None) -> Column:
-    return F.struct(time, tie) if tie else F.col(time)
+def order_of(df: DataFrame, time: str, tie: str | None) -> Column:
+    """The order of samples: by time, then by the tie-breaker.  A whole-numbered tie is
+    joined with the time to one number, which keeps the aggregation a hash aggregation
+    (a struct would have it sort its input)."""
+    if tie is None:
+        return F.col(time)
+    if not isinstance(df.schema[tie].dataType, T.IntegralType):
+        return F.struct(time, tie)
+    us = micros(F.col(time), df.schema[time].dataType).cast("decimal(19,0)")
+    return us * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
 
 
 def gridded(
@@ -54,7 +67,7 @@ def gridded(
     """(labels, slot, value): the first sample of each series in each slot."""
     kind = df.schema[time].dataType
     at = slot(F.col(time), kind, grid).alias("slot")
-    return first_in(df, [*labels, at], value, order_of(time, tie))
+    return first_in(df, [*labels, at], value, order_of(df, time, tie))
 
 
 def pack(
@@ -65,7 +78,7 @@ def pack(
     kind = df.schema[time].dataType
     width = grid.width
     cells = gridded(df, labels, time, value, grid, tie)
-    chunk = F.floor(F.col("slot") / width).cast("long").alias("chunk")
+    chunk = floor_div(F.col("slot"), width).alias("chunk")
     inside = F.pmod(F.col("slot"), F.lit(width)).cast("int")
     lists = cells.groupBy(*labels, chunk).agg(
         F.map_from_entries(F.collect_list(F.struct(inside.alias("k"), F.col(value).alias("v")))).alias("cells")
@@ -132,7 +145,7 @@ def differences(
     late = F.struct(F.lit(1).alias("lag"))
     moved = df.where(F.col(value).isNotNull()).withColumn("_lag", F.explode(F.array(own, late)))
     at = (slot(F.col(time), kind, grid) + F.col("_lag.lag")).alias("slot")
-    order = order_of(time, tie)
+    order = order_of(df, time, tie)
 
     def pick(lag: int) -> Column:
         return F.min_by(F.col(value), F.when(F.col("_lag.lag") == lag, order))
