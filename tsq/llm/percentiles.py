@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ from tsq.plans.session import cut, join_small
 
 PERMILLES = (500, 900, 950, 990, 999)
 NAMES = ("p50", "p90", "p95", "p99", "p999")
-LOCAL_LIMIT = 1 << 20  # values of one group that one task may hold
+LOCAL_LIMIT = 1 << 18  # values of one group that one task may hold
+TASK_VALUES = 1 << 20  # values of several groups that a task works on at once
 ALL = -(1 << 31)  # the day of a group over all days
 PARTIAL = "plan_id int, by_values array<string>, on_day int, n bigint, n_values bigint, vals binary, times binary"
 INSTANCE = ["plan_id", "by_values", "on_day"]
@@ -137,29 +139,57 @@ def _pick(cell, v, times, permilles=PERMILLES):
 
 def _small(partials: DataFrame, daily_only: bool) -> DataFrame:
     """Percentiles of groups that fit one task: by day, and over all days unless
-    ``daily_only``."""
+    ``daily_only``.  A task works on many groups at once, in the order of their keys."""
+    group = ["plan_id", "key", "on_day"] if daily_only else ["plan_id", "key"]
 
-    def kernel(table: pa.Table) -> pa.Table:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += pc.sum(b["n_values"]).as_py() or 0
+            if n < TASK_VALUES:
+                continue
+            table = pa.Table.from_batches(held)
+            same = np.ones(table.num_rows, bool)
+            for name in group:
+                same &= pc.equal(table[name], table[name][-1]).to_numpy()
+            cut_at = table.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut_at:  # the last group may go on in the next batch
+                yield from select(table.slice(0, cut_at))
+            held = table.slice(cut_at).to_batches()
+            n = sum(pc.sum(x["n_values"]).as_py() or 0 for x in held)
+        if held:
+            yield from select(pa.Table.from_batches(held))
+
+    def select(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
         v, times, run = _values(table)
-        days = runs._flat(table["on_day"]).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [_pick(days[run], v, times)]
-        if not daily_only:
-            found.append(_pick(np.full(len(v), ALL, np.int64), v, times))
-        day, n, picked = (np.concatenate(x) for x in zip(*found))
-        k = len(day)
-        by = runs._flat(table["by_values"])
-        return pa.table(
-            {
-                "plan_id": pa.array(np.full(k, table["plan_id"][0].as_py(), np.int32)),
-                "by_values": by.take(pa.array(np.zeros(k, np.int64))),
-                "on_day": pa.array(day.astype(np.int32)),
+        for daily in (True,) if daily_only else (True, False):
+            cell, first = runs.codes(table, ["plan_id", "key", "on_day"] if daily else ["plan_id", "key"])
+            c, n, picked = _pick(cell[run], v, times)
+            rows = pa.array(first[c])
+            columns = {
+                "plan_id": table["plan_id"].take(rows),
+                "by_values": table["by_values"].take(rows),
+                "on_day": table["on_day"].take(rows) if daily else pa.array(np.full(len(c), ALL, np.int32)),
                 "n": pa.array(n),
                 **{name: pa.array(np.ascontiguousarray(picked[:, i])) for i, name in enumerate(NAMES)},
             }
-        )
+            yield from pa.table(columns).cast(schema).to_batches(max_chunksize=50_000)
 
+    schema = pa.schema(
+        [
+            ("plan_id", pa.int32()),
+            ("by_values", pa.list_(pa.string())),
+            ("on_day", pa.int32()),
+            ("n", pa.int64()),
+            *[(name, pa.float64()) for name in NAMES],
+        ]
+    )
+    key = F.array_join(F.transform("by_values", lambda x: F.coalesce(x, F.lit("\x00"))), "\x1f")
+    keyed = partials.withColumn("key", key)
     out = "plan_id int, by_values array<string>, on_day int, n bigint, " + ", ".join(f"{x} double" for x in NAMES)
-    return partials.groupBy(*(INSTANCE if daily_only else KEY)).applyInArrow(kernel, out)
+    return keyed.repartition(*group).sortWithinPartitions(*group).mapInArrow(kernel, out)
 
 
 def _proposals(partials: DataFrame) -> DataFrame:
