@@ -287,18 +287,19 @@ def lineitem_sum_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT tenant, instance, route, env, status, client_key, hex(client_addr) AS client_addr, account_no, is_retry, ts, value "
+    "SELECT tenant, instance, route, env, status, client_key, hex(client_addr) AS client_addr, account_no::VARCHAR AS account_no, is_retry::VARCHAR AS is_retry, ts, value "
     "FROM usage_samples WHERE env IS DISTINCT FROM 'production' AND NOT regexp_matches(status, '^[23]') "
     "AND ts >= TIMESTAMP '2025-02-01' AND ts < TIMESTAMP '2025-02-08'"
 )
 def usage_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = 'edge.gateway.request_cost{env!="production", status!~"^[23]"}[1w]'
     rows = Engine(spark, load_catalog(spark, sf_dir)).query(text, at="2025-02-08")
-    return rows.withColumn("client_addr", F.hex("client_addr"))
+    texts = {c: F.col(c).cast("string") for c in ("account_no", "is_retry")}
+    return rows.withColumns({"client_addr": F.hex("client_addr"), **texts})
 
 
 @query(
-    "SELECT instance, quantity, rack, is_backup, ts, value FROM (SELECT instance, quantity, rack, is_backup, "
+    "SELECT instance, quantity, rack::VARCHAR AS rack, ts, value FROM (SELECT instance, quantity, rack, is_backup, "
     "chunk_start + to_minutes(CAST(i - 1 AS INTEGER)) AS ts, value[i] AS value FROM "
     "(SELECT *, unnest(generate_series(1, len(value))) AS i FROM gauge_records WHERE quantity = 'temp_c' AND NOT is_backup)) "
     "WHERE value IS NOT NULL AND ts >= TIMESTAMP '2025-01-10 00:30' AND ts < TIMESTAMP '2025-03-01'"
@@ -310,8 +311,8 @@ def gauge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("quantity", "=", "temp_c"), ("is_backup", "=", False)],
         start="2025-01-10 00:30:00",
         end="2025-03-01",
-        labels=["instance", "quantity", "rack", "is_backup"],
-    )
+        labels=["instance", "quantity", "rack"],
+    ).withColumn("rack", F.col("rack").cast("string"))
 
 
 @query(
@@ -320,14 +321,16 @@ def gauge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chunk_start + to_minutes(CAST(i - 1 AS INTEGER)) AS ts, value[i] AS v FROM s), "
     "f AS (SELECT instance, quantity, rack, is_backup, probe_addr, date_trunc('hour', ts) AS h, "
     "first(v ORDER BY ts) AS v FROM p WHERE v IS NOT NULL GROUP BY ALL) "
-    "SELECT instance, quantity, rack, is_backup, h AS window_start, max(v) AS value FROM f GROUP BY ALL"
+    "SELECT instance, quantity, rack::VARCHAR AS rack, is_backup::VARCHAR AS is_backup, h AS window_start, "
+    "max(v) AS value FROM f GROUP BY f.instance, f.quantity, f.rack, f.is_backup, f.h"
 )
 def gauge_max_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan 15: the first sample of each hour, the greatest over probe addresses."""
     plan = Aggregate(
         "max", "without", ("probe_addr",), (Scan("plant.probe.reading"), Literal("value")), Window("first", HOUR)
     )
-    return Engine(spark, load_catalog(spark, sf_dir)).run(plan)
+    found = Engine(spark, load_catalog(spark, sf_dir)).run(plan)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("rack", "is_backup")})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

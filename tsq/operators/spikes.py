@@ -35,6 +35,7 @@ TIMES = 10.0
 LONGEST = 4
 STUCK_RUN = 15
 BUSY = 0.93  # share of changes from sample to sample of a series that keeps changing
+MOST_STUCK = 0.5  # beyond this share of held values the series is one that rests
 CALM_DETAIL = 3.0  # details within this many spreads are never a spike's edge
 # Fixed value: counts jump by more than this, whatever their scatter.
 JUMPS = {"queue_len": 100.0}
@@ -93,6 +94,8 @@ def spikes(x: np.ndarray, jump: float | None) -> np.ndarray:
         return out
     starts, size = runs_of(x)
     moving = np.repeat(size < STUCK_RUN, size)
+    if moving.sum() < MOST_STUCK * n:
+        moving[:] = True  # a series that rests: stretches of one value are its normal
     rest = x - _rolling_median(x, SIDE)
     scatter = max(spread(rest[moving]), reading_step(x))
     limit = jump if jump is not None else TIMES * scatter
@@ -122,7 +125,8 @@ def stuck(x: np.ndarray) -> np.ndarray:
     starts, size = runs_of(x)
     long = size >= STUCK_RUN
     steps = len(x) - 1 - int((size[long] - 1).sum())
-    if not long.any() or steps <= 0 or len(starts) - 1 < BUSY * steps:
+    held = int(size[long].sum())
+    if not held or held > MOST_STUCK * len(x) or len(starts) - 1 < BUSY * steps:
         return np.zeros(len(x), bool)
     return np.repeat(long, size)
 

@@ -80,8 +80,8 @@ def p3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("sum_30").alias("total_30"),
         (F.col("sum_7") / 7.0).alias("avg_7"),
         (F.col("sum_30") / 30.0).alias("avg_30"),
-        F.col("min_7").alias("least_7"),
-        F.col("max_30").alias("most_30"),
+        F.col("min_7").cast("double").alias("least_7"),
+        F.col("max_30").cast("double").alias("most_30"),
     )
 
 
@@ -157,5 +157,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_rolling": _P3_SQL
         + "SELECT account, strftime(d, '%Y-%m-%d') AS on_day, total_7::BIGINT AS total_7, "
         "total_30::BIGINT AS total_30, total_7::BIGINT / 7.0::DOUBLE AS avg_7, total_30::BIGINT / 30.0::DOUBLE AS avg_30, "
-        "least_7, most_30 FROM rolled",
+        "least_7::DOUBLE AS least_7, most_30::DOUBLE AS most_30 FROM rolled",
     }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from tsq.engine import Engine
 from tsq.errors import Unsupported
@@ -32,7 +33,8 @@ def select_stream(engine: Engine, text: str, at: Instant | str | None = None) ->
 
 def once_each(stream: DataFrame, time: str, sample_id: str, lateness: str) -> DataFrame:
     """Redelivered samples dropped, those that arrive within ``lateness`` of the first."""
-    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([sample_id])
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zone
+    return timed.withWatermark(time, lateness).dropDuplicatesWithinWatermark([sample_id])
 
 
 def pull(df: DataFrame, prefetch: bool = True) -> Iterator[Row]:
