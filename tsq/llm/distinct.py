@@ -31,13 +31,13 @@ from tsq.llm import runs
 
 PARTIAL = "plan_id int, on_day int, by_values array<string>, hash_range int, n bigint, run binary"
 ROWS_PER_RANGE = 1 << 20
-LEAST_RANGES = 8
+LEAST_RANGES = 16
 TWO_65 = float(1 << 65)
 
 
 def range_bits(rows: int) -> int:
     """Bits of the hash that name its range: about a million rows of input a range."""
-    return max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE) - 1).bit_length()
+    return (max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE)) - 1).bit_length()
 
 
 def partial_runs(rows: DataFrame, plans: list[dict], time: str, bits: int) -> DataFrame:
