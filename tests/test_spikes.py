@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsq.operators import spikes
@@ -150,6 +151,20 @@ def test_series_cross_records_and_blocks(spark):
     assert flagged(spikes.flag(records(spark, series), limits(spark), LABELS, block_days=2)) == sorted(want)
 
 
+def test_crowded_blocks_are_cut(spark):
+    x = list(noisy(60 * 24 * 9))
+    x[4000] = 60.0
+    x[60 * 30 + 59], x[60 * 31] = 60.0, 61.0
+    df = records(spark, {("a", "temp_c", None): x, (None, "temp_c", b"\1"): list(noisy(600))})
+    want = [(30, 59), (31, 0), (66, 40)]
+    for most in (4096, 100, 20):
+        assert flagged(spikes.flag(df, limits(spark), LABELS, block_records=most)) == want
+    # More records in one hour than a part may hold: still every impossible sample.
+    many = {(f"s{i}", "temp_c", None): [20.0, 999.0] for i in range(50)}
+    shared = records(spark, many).withColumn("instance", F.lit("shared")).where("value is not null")
+    assert len(flagged(spikes.flag(shared, limits(spark), LABELS, block_records=1))) == 50
+
+
 def test_quantity_without_limits_and_empty(spark):
     series = {("a", "odd", None): [np.nan, 1.0, 2.0], ("b", None, None): [5.0, None, np.inf]}
     df = records(spark, series)

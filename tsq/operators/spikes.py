@@ -9,7 +9,8 @@ of zero detail are stuck stretches, where the series otherwise keeps changing.
 find impossible values.
 
 A series is looked at in blocks of ``block_days`` days, each with a day of context on
-both sides, so neither a long series nor a shared label tuple is held by one task.
+both sides, and crowded blocks in smaller parts, so neither a long series nor a label
+tuple shared by many sources is held by one task.
 
 Defined results: redelivered records give one row a slot; NULL slots and NULL values
 are never flagged; NaN and infinite samples are impossible; a quantity without limits
@@ -28,6 +29,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsq.plans.session import cut, join_small
+
 IMPOSSIBLE, SPIKE, STUCK = "impossible", "spike", "stuck"
 FLAGS = "record_id bigint, slot int, reason string"
 SIDE = 10  # samples on each side that make the level
@@ -40,6 +43,7 @@ CALM_DETAIL = 3.0  # details within this many spreads are never a spike's edge
 # Fixed value: counts jump by more than this, whatever their scatter.
 JUMPS = {"queue_len": 100.0}
 BLOCK_DAYS = 7
+BLOCK_RECORDS = 4096
 CONTEXT_HOURS = 24
 
 
@@ -164,46 +168,83 @@ def _judge_block(table: pa.Table) -> pa.Table:
 
 
 def flag(
-    records: DataFrame, limits: DataFrame, labels: Sequence[str], block_days: int = BLOCK_DAYS
+    records: DataFrame,
+    limits: DataFrame,
+    labels: Sequence[str],
+    block_days: int = BLOCK_DAYS,
+    block_records: int = BLOCK_RECORDS,
 ) -> DataFrame:
     """(record_id, slot, reason) of every implausible stored sample.
 
     ``limits`` is a fixed table of one row for each quantity.  Only stored samples
-    travel: NULL slots are dropped before the shuffle."""
-    hour = F.col("chunk_start").cast("timestamp")
-    seconds = F.unix_timestamp(hour)
-    width, context = block_days * 86_400, CONTEXT_HOURS * 3600
-    block = lambda t: F.floor(t / width)
+    travel: NULL slots are dropped before the shuffle.  A block of one label tuple with
+    more than ``block_records`` records (several sources under one name) is cut into
+    shorter blocks, and beyond an hour by a hash of the record."""
+    keys = [f"key_{i}" for i in range(len(labels))]
+    seconds = F.unix_timestamp(F.col("chunk_start").cast("timestamp"))
+    width = block_days * 86_400
     stored = F.filter(
         F.transform("value", lambda v, i: F.struct(i.cast("int").alias("slot"), v.alias("v"))),
         lambda s: s["v"].isNotNull(),
     )
-    keys = {f"key_{i}": F.col(c) for i, c in enumerate(labels)}
-    rows = (
-        records.where(F.col("value").isNotNull())
-        .select(
-            "record_id",
-            F.col("quantity").alias("quantity_name"),
-            *[c.alias(k) for k, c in keys.items()],
-            seconds.alias("at"),
-            block(seconds).alias("home"),
-            F.explode(F.array_distinct(F.array(*[block(seconds + s) for s in (-context, 0, context)]))).alias("block"),
-            stored.alias("stored"),
-        )
-        .select(
-            "record_id",
-            *keys,
-            "at",
-            "block",
-            (F.col("home") == F.col("block")).alias("own"),
-            F.col("quantity_name").alias("quantity"),
-            F.col("stored.v").alias("vals"),
-            F.col("stored.slot").alias("slots"),
+    rows = records.where(F.exists("value", lambda v: v.isNotNull())).select(
+        "record_id",
+        F.col("quantity").alias("quantity"),
+        *[F.col(c).alias(k) for c, k in zip(labels, keys)],
+        seconds.alias("at"),
+        F.floor(seconds / width).alias("block"),
+        stored.alias("stored"),
+    )
+    # Counted over the label columns alone; few blocks, if any, are above the bound.
+    crowded = cut(
+        rows.groupBy(*keys, "block").agg(F.count("*").alias("n")).where(F.col("n") > block_records).select(
+            *[F.col(k).alias(f"_{k}") for k in keys],
+            F.col("block").alias("_block"),
+            F.ceil(F.col("n") / block_records).alias("parts"),
         )
     )
+    n_crowded = crowded.count()
+    if n_crowded:
+        rows = _with_parts(rows, crowded, keys, n_crowded)
+    else:
+        rows = rows.withColumn("parts", F.lit(1).cast("long"))
+    # A part is an hour at least; its context a day at most.
+    span = F.greatest(F.floor(F.lit(width) / F.col("parts")), F.lit(3600))
+    salts = F.greatest(F.ceil(F.col("parts") * 3600 / width), F.lit(1))
+    rows = rows.withColumns(
+        {
+            "span": span,
+            "salt": F.pmod(F.xxhash64("record_id"), salts),
+            "context": F.least(span, F.lit(CONTEXT_HOURS * 3600)),
+        }
+    )
+    part = lambda t: F.floor(t / F.col("span"))
+    near = F.array_distinct(F.array(*[part(F.col("at") + s * F.col("context")) for s in (-1, 0, 1)]))
+    spread = rows.select(
+        "record_id",
+        *keys,
+        "at",
+        "span",
+        "salt",
+        part(F.col("at")).alias("home"),
+        F.explode(near).alias("part"),
+        "quantity",
+        F.col("stored.v").alias("vals"),
+        F.col("stored.slot").alias("slots"),
+    ).withColumn("own", F.col("home") == F.col("part"))
     bounds = limits.select("quantity", "lower_limit", "upper_limit").dropDuplicates(["quantity"])
-    judged = rows.join(F.broadcast(bounds), "quantity", "left")
-    return judged.groupBy(*keys, "block").applyInArrow(_judge_block, FLAGS)
+    judged = spread.join(F.broadcast(bounds), "quantity", "left")
+    return judged.groupBy(*keys, "span", "salt", "part").applyInArrow(_judge_block, FLAGS)
+
+
+def _with_parts(rows: DataFrame, crowded: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Rows with the number of parts of their block; label tuples compare NULL-safely,
+    by the text of their values."""
+    text = lambda names: F.to_json(F.struct(*[F.col(x).alias(str(i)) for i, x in enumerate(names)]))
+    marked = crowded.select(text([*[f"_{k}" for k in keys], "_block"]).alias("_text"), "parts")
+    keyed = rows.withColumn("_text", text([*keys, "block"]))
+    joined = join_small(keyed, marked, ["_text"], n, "record_id", "left")
+    return joined.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).drop("_text")
 
 
 def found(flags: DataFrame) -> DataFrame:
