@@ -16,6 +16,11 @@ special tokens are ordinary text; every row gives one row, repeated ids included
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +31,7 @@ from tsq.plans.session import cut, let, literal_columns
 NO_RANK = 1 << 20
 HOT_WORDS = 1 << 17
 HOT_SLOTS = 1 << 20
+LONGEST_FOLD = 2000
 LONGEST_HOT = 48  # characters of a dictionary word: bounds the dictionary's bytes
 _tables: dict[tuple[str, str], list[Column]] = {}
 
@@ -209,19 +215,55 @@ class Dictionary:
         )
 
 
+def has_long_word(text: Column, longest: int) -> Column:
+    """Texts with a stretch of ``longest`` characters that may be one word."""
+    pattern = f"[^{vocab.SPACE}]{{{longest}}}|[{vocab.SPACE}]{{{longest}}}"
+    return F.coalesce(text.rlike(pattern), F.lit(False))
+
+
+def library_encoder(spark: SparkSession, path: str):
+    """A column function that encodes whole texts with the vocabulary's own library."""
+    ranks = spark.sparkContext.broadcast(vocab.load_ranks(path))
+
+    @F.pandas_udf("array<int>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import public_tokenizers
+        import tiktoken
+
+        encoding = tiktoken.Encoding(
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={}
+        )
+        for batch in texts:
+            yield batch.map(encoding.encode_ordinary)
+
+    return run
+
+
 def encode(
     docs: DataFrame,
     text: str = "text",
     ids: str = "ids",
     path: str = vocab.DEFAULT_VOCAB,
     hot_words: int = HOT_WORDS,
+    longest_fold: int = LONGEST_FOLD,
 ) -> DataFrame:
-    """``docs`` with a column of token ids (array<int>) added or replaced."""
+    """``docs`` with a column of token ids (array<int>) added or replaced.
+
+    The time of a fold grows with the square of the word.  The few texts with a stretch
+    of ``longest_fold`` characters that may be a single word are therefore encoded by
+    the vocabulary's own library, with the same ids."""
     codec = Codec(docs.sparkSession, path)
     hot = Dictionary(docs.select(text), codec, text, hot_words)
-    return docs.withColumn(ids, F.flatten(F.transform(words(F.col(text)), lambda w: hot.ids_of(w, codec))))
+    is_long = has_long_word(F.col(text), longest_fold)
+    folded = F.flatten(F.transform(words(F.col(text)), lambda w: hot.ids_of(w, codec)))
+    short = docs.where(~is_long).withColumn(ids, folded)
+    long = docs.where(is_long).withColumn(ids, library_encoder(docs.sparkSession, path)(F.col(text)))
+    return short.unionByName(long)
 
 
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "text", path: str = vocab.DEFAULT_VOCAB) -> DataFrame:
     """``tokens`` with the decoded text added or replaced."""
     return tokens.withColumn(text, Codec(tokens.sparkSession, path).decode(F.col(ids)))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
