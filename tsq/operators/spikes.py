@@ -57,7 +57,8 @@ def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rolling_median(x: np.ndarray, side: int) -> np.ndarray:
     padded = np.pad(x, side, mode="reflect")
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * side + 1), axis=1)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * side + 1)
+    return np.partition(windows, side, axis=1)[:, side]
 
 
 def reading_step(x: np.ndarray) -> float:
@@ -147,15 +148,23 @@ def judge(x: np.ndarray, lower: float | None, upper: float | None, jump: float |
     return {IMPOSSIBLE: bad, SPIKE: spike, STUCK: stuck(x)}
 
 
+def _lists(col: pa.ChunkedArray) -> pa.ListArray:
+    flat = col.combine_chunks()
+    return flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+
+
 def _judge_block(table: pa.Table) -> pa.Table:
     """Flags of one series in one block, each record once, in time order."""
-    rows = table.to_pandas()
-    rows = rows.drop_duplicates("record_id").sort_values(["at", "record_id"], kind="stable")
-    sizes = rows["vals"].map(len).to_numpy()
-    x = np.concatenate([np.asarray(v, float) for v in rows["vals"]])
-    slot = np.concatenate([np.asarray(v, np.int32) for v in rows["slots"]])
-    ids = np.repeat(rows["record_id"].to_numpy(np.int64), sizes)
-    own = np.repeat(rows["own"].to_numpy(bool), sizes)
+    ids, at = (table[c].to_numpy() for c in ("record_id", "at"))
+    order = np.lexsort((ids, at))
+    order = order[np.r_[True, np.diff(ids[order]) != 0]]  # a redelivered record has its time
+    rows = table.combine_chunks().take(pa.array(order))
+    vals, slots = (_lists(rows[c]) for c in ("vals", "slots"))
+    sizes = np.diff(vals.offsets.to_numpy())
+    x = vals.flatten().to_numpy(zero_copy_only=False)
+    slot = slots.flatten().to_numpy(zero_copy_only=False)
+    ids = np.repeat(rows["record_id"].to_numpy(), sizes)
+    own = np.repeat(rows["own"].to_numpy(), sizes)
     quantity, lower, upper = (table[c][0].as_py() for c in ("quantity", "lower_limit", "upper_limit"))
     with np.errstate(invalid="ignore"):
         masks = judge(x, lower, upper, JUMPS.get(quantity))
