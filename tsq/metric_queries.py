@@ -63,7 +63,7 @@ def query(sql: str | None = None):
     return register
 
 
-def _select(text: str, sql: str, name: str, at: str = AT, table: str = "events") -> None:
+def _select(text: str, sql: str, name: str, at: str, table: str) -> None:
     """A selector query over all labels."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,17 +76,52 @@ def _select(text: str, sql: str, name: str, at: str = AT, table: str = "events")
 NULLS = "(SELECT * REPLACE (nullif(event_type, 'view') AS event_type) FROM events)"
 BEFORE = f"ts < TIMESTAMP '{AT}'"
 
-_select("events", BEFORE, "scan_all")
-_select('events{event_type="click"}[10d]', f"event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'", "flagship_selector", at="2024-01-20")
-_select('events{event_type="click"}', f"event_type IS NOT DISTINCT FROM 'click' AND {BEFORE}", "match_eq")
-_select('events{event_type!="click"}', f"event_type IS DISTINCT FROM 'click' AND {BEFORE}", "match_ne")
-_select('events{event_type=~"c|ea"}', f"regexp_matches(event_type, 'c|ea') AND {BEFORE}", "match_re")
-_select('events{event_type!~"c|ea"}', f"NOT regexp_matches(event_type, 'c|ea') AND {BEFORE}", "match_nre")
-_select('events_nulls{event_type!="click"}', f"event_type IS DISTINCT FROM 'click' AND {BEFORE}", "match_ne_keeps_null", table=NULLS)
-_select('events_nulls{event_type!~"c.*k"}', f"NOT regexp_matches(event_type, 'c.*k') AND {BEFORE}", "match_nre_drops_null", table=NULLS)
-_select('events_nulls{event_type=~"."}', f"regexp_matches(event_type, '.') AND {BEFORE}", "match_re_drops_null", table=NULLS)
-_select("events[3d]", f"ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-15'", "range_selector", at="2024-01-15")
-_select("events[2d] offset 1w", f"ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-15'", "offset_selector", at="2024-01-22")
+# text, SQL condition, name, evaluation time, table of the SQL
+_SELECTORS = [
+    ("events", BEFORE, "scan_all", AT, "events"),
+    (
+        'events{event_type="click"}[10d]',
+        "event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'",
+        "flagship_selector",
+        "2024-01-20",
+        "events",
+    ),
+    ('events{event_type="click"}', f"event_type IS NOT DISTINCT FROM 'click' AND {BEFORE}", "match_eq", AT, "events"),
+    ('events{event_type!="click"}', f"event_type IS DISTINCT FROM 'click' AND {BEFORE}", "match_ne", AT, "events"),
+    ('events{event_type=~"c|ea"}', f"regexp_matches(event_type, 'c|ea') AND {BEFORE}", "match_re", AT, "events"),
+    ('events{event_type!~"c|ea"}', f"NOT regexp_matches(event_type, 'c|ea') AND {BEFORE}", "match_nre", AT, "events"),
+    (
+        'events_nulls{event_type!="click"}',
+        f"event_type IS DISTINCT FROM 'click' AND {BEFORE}",
+        "match_ne_keeps_null",
+        AT,
+        NULLS,
+    ),
+    (
+        'events_nulls{event_type!~"c.*k"}',
+        f"NOT regexp_matches(event_type, 'c.*k') AND {BEFORE}",
+        "match_nre_drops_null",
+        AT,
+        NULLS,
+    ),
+    ('events_nulls{event_type=~"."}', f"regexp_matches(event_type, '.') AND {BEFORE}", "match_re_drops_null", AT, NULLS),
+    (
+        "events[3d]",
+        "ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-15'",
+        "range_selector",
+        "2024-01-15",
+        "events",
+    ),
+    (
+        "events[2d] offset 1w",
+        "ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-15'",
+        "offset_selector",
+        "2024-01-22",
+        "events",
+    ),
+]
+for _one_selector in _SELECTORS:
+    _select(*_one_selector)
 
 
 @query(f"SELECT event_type, user_id, ts, value FROM {NULLS} WHERE event_type IS NULL")
@@ -279,7 +314,8 @@ def limit_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lineitem_sum_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples of each label group, by a sum in the window of each series."""
-    plan = Aggregate("sum", "with", ("l_returnflag", "l_linestatus"), (Scan("lineitem"), Literal("value")), Window("sum"))
+    by = ("l_returnflag", "l_linestatus")
+    plan = Aggregate("sum", "with", by, (Scan("lineitem"), Literal("value")), Window("sum"))
     return engine(spark, sf_dir).run(plan).withColumn("value", F.round("value", 2))
 
 
@@ -287,7 +323,8 @@ def lineitem_sum_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT tenant, instance, route, env, status, client_key, hex(client_addr) AS client_addr, account_no::VARCHAR AS account_no, is_retry::VARCHAR AS is_retry, ts, value "
+    "SELECT tenant, instance, route, env, status, client_key, hex(client_addr) AS client_addr, "
+    "account_no::VARCHAR AS account_no, is_retry::VARCHAR AS is_retry, ts, value "
     "FROM usage_samples WHERE env IS DISTINCT FROM 'production' AND NOT regexp_matches(status, '^[23]') "
     "AND ts >= TIMESTAMP '2025-02-01' AND ts < TIMESTAMP '2025-02-08'"
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -108,7 +107,3 @@ class GridMeta:
     def __post_init__(self):
         if self.unit.millis <= 0 or self.width <= 0:
             raise SchemaMismatch("a grid needs a positive unit and width")
-
-
-def names(columns: Iterable[ColumnDef]) -> list[str]:
-    return [c.name for c in columns]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsq.catalog import Catalog, Table
 from tsq.schema import ColumnDef, GridMeta, Index, MetricSchema
@@ -54,8 +53,7 @@ def write(
 
     With ``by_day`` rows are spread by day and a hash of the series, so a busy day is
     written by several tasks."""
-    inverted = [c.name for c in table.schema.labels if table.schema.index.get(c.name, Index("inverted")).kind == "inverted"]
-    inverted = [x for x in inverted if x in table.schema.index]
+    inverted = [name for name, index in table.schema.index.items() if index.kind == "inverted"]
     df = table.df
     if by_day:
         day = F.col(table.time).cast("date")
@@ -92,7 +90,3 @@ def load_catalog(
         out.create_table(table)
         out.tag(e["resource"], list(e["tags"] or []))
     return out
-
-
-def time_type(df: DataFrame, time: str) -> T.DataType:
-    return df.schema[time].dataType
