@@ -76,7 +76,19 @@ def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_distinct, p1_runs, p5_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_measures, p8_bands)}
+    every = (
+        p1_distinct,
+        p1_runs,
+        p5_percentiles,
+        p6_ids,
+        p6_decoded,
+        p7_mix,
+        p7_shares,
+        p8_found,
+        p8_measures,
+        p8_bands,
+    )
+    return {f.__name__: f for f in every}
 
 
 # Plans 8 to 10: label columns and identifier, as text of the oracle.
