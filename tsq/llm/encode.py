@@ -215,12 +215,6 @@ class Dictionary:
         )
 
 
-def has_long_word(text: Column, longest: int) -> Column:
-    """Texts with a stretch of ``longest`` characters that may be one word."""
-    pattern = f"[^{vocab.SPACE}]{{{longest}}}|[{vocab.SPACE}]{{{longest}}}"
-    return F.coalesce(text.rlike(pattern), F.lit(False))
-
-
 def library_encoder(spark: SparkSession, path: str):
     """A column function that encodes whole texts with the vocabulary's own library."""
     ranks = spark.sparkContext.broadcast(vocab.load_ranks(path))
@@ -234,7 +228,7 @@ def library_encoder(spark: SparkSession, path: str):
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={}
         )
         for batch in texts:
-            yield batch.map(encoding.encode_ordinary)
+            yield pd.Series([None if t is None else encoding.encode_ordinary(t) for t in batch], dtype=object)
 
     return run
 
@@ -249,16 +243,19 @@ def encode(
 ) -> DataFrame:
     """``docs`` with a column of token ids (array<int>) added or replaced.
 
-    The time of a fold grows with the square of the word.  The few texts with a stretch
-    of ``longest_fold`` characters that may be a single word are therefore encoded by
-    the vocabulary's own library, with the same ids."""
+    The time of a fold grows with the square of the word.  A text with a word of more
+    than ``longest_fold`` characters is therefore encoded by the vocabulary's own
+    library, with the same ids; of all other texts the library sees nothing."""
     codec = Codec(docs.sparkSession, path)
     hot = Dictionary(docs.select(text), codec, text, hot_words)
-    is_long = has_long_word(F.col(text), longest_fold)
-    folded = F.flatten(F.transform(words(F.col(text)), lambda w: hot.ids_of(w, codec)))
-    short = docs.where(~is_long).withColumn(ids, folded)
-    long = docs.where(is_long).withColumn(ids, library_encoder(docs.sparkSession, path)(F.col(text)))
-    return short.unionByName(long)
+
+    def known(word: Column) -> Column:
+        return F.when(F.length(word) <= longest_fold, hot.ids_of(word, codec))
+
+    # A list of lists with a NULL in it flattens to NULL.
+    folded = docs.withColumn(ids, F.flatten(F.transform(words(F.col(text)), known)))
+    whole = library_encoder(docs.sparkSession, path)(F.when(F.col(ids).isNull(), F.col(text)))
+    return folded.withColumn(ids, F.coalesce(F.col(ids), whole))
 
 
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "text", path: str = vocab.DEFAULT_VOCAB) -> DataFrame:
