@@ -56,6 +56,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than there are cores (one
+    small file, say); larger inputs stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, key) if splits < cores else df
+
+
 SMALL_ROWS = 50_000
 SALTS = 64
 
