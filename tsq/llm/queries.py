@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsq.llm import distinct, encode, mix, percentiles, repetition
 from tsq.plans.aggregates import read_plans
+from tsq.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,9 +42,12 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.partial_values(usage, _plans(spark, sf_dir, "quantile"), "ts"))
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode.encode(docs).select("doc_id", "ids")
+    return encode.encode(_documents(spark, sf_dir, "text")).select("doc_id", "ids")
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mix.document_sizes(_table(spark, sf_dir, "documents"))
+    sizes = mix.document_sizes(_documents(spark, sf_dir, "source", "text"))
     return sizes, mix.rates(sizes, _table(spark, sf_dir, "mix_targets"))
 
 
@@ -64,15 +68,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.found(_table(spark, sf_dir, "documents"))
+    return repetition.found(_documents(spark, sf_dir, "text"))
 
 
 def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.measured(_table(spark, sf_dir, "documents"))
+    return repetition.measured(_documents(spark, sf_dir, "text"))
 
 
 def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.bands(repetition.measured(_table(spark, sf_dir, "documents"), limit=1.0))
+    return repetition.bands(repetition.measured(_documents(spark, sf_dir, "text"), limit=1.0))
 
 
 def queries() -> dict[str, Query]:
