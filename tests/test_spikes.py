@@ -30,9 +30,11 @@ def noisy(n=900, level=20.0, scatter=0.5, seed=0):
     return np.round(level + scatter * rng.standard_normal(n) + 2 * np.sin(np.arange(n) / 200), 2)
 
 
-def masks(x, lower=-90.0, upper=150.0, jump=None):
-    with np.errstate(invalid="ignore"):
-        return {k: np.flatnonzero(v).tolist() for k, v in spikes.judge(np.asarray(x, float), lower, upper, jump).items()}
+def masks(x, lower=-90.0, upper=150.0, jump=np.nan, **settings):
+    x = np.asarray(x, float)
+    bad = spikes.impossible(x, np.nan if lower is None else lower, np.nan if upper is None else upper)
+    found = spikes.judge(x, np.zeros(len(x), np.int64), bad, np.array([jump]), **settings)
+    return {k: np.flatnonzero(v).tolist() for k, v in found.items()}
 
 
 def test_clean_series_have_no_cases():
@@ -101,7 +103,7 @@ def test_counts_that_jump():
     x = rng.poisson(2, 800).astype(float)
     x[50] = 90
     x[60] = 300
-    assert masks(x, 0, None, spikes.JUMPS["queue_len"])["spike"] == [60]
+    assert masks(x, 0, None, 100.0)["spike"] == [60]
 
 
 def test_short_series():
@@ -133,9 +135,9 @@ def flagged(df):
     return sorted((r["record_id"], r["slot"]) for r in spikes.found(df).collect())
 
 
-def test_series_cross_records_and_blocks(spark):
+def test_series_cross_records_and_tasks(spark):
     x = list(noisy(60 * 24 * 9))
-    boundary = 60 * 24  # 2025-01-02: blocks of seven days from the epoch begin there
+    boundary = 60 * 24
     x[boundary - 1], x[boundary] = 60.0, 61.0
     x[3000:3015] = [x[3000]] * 15
     x[3007] = None
@@ -148,21 +150,78 @@ def test_series_cross_records_and_blocks(spark):
     want += [(50, s) for s in range(16) if s != 7]
     want += [(len(x) // 60, 30)]
     assert flagged(df) == sorted(want)
-    assert flagged(spikes.flag(records(spark, series), limits(spark), LABELS, block_days=2)) == sorted(want)
 
 
-def test_crowded_blocks_are_cut(spark):
-    x = list(noisy(60 * 24 * 9))
-    x[4000] = 60.0
-    x[60 * 30 + 59], x[60 * 31] = 60.0, 61.0
-    df = records(spark, {("a", "temp_c", None): x, (None, "temp_c", b"\1"): list(noisy(600))})
-    want = [(30, 59), (31, 0), (66, 40)]
-    for most in (4096, 100, 20):
-        assert flagged(spikes.flag(df, limits(spark), LABELS, block_records=most)) == want
-    # More records in one hour than a part may hold: still every impossible sample.
+def rough(n, seed):
+    """A series with cases of every kind, some of them near each other."""
+    rng = np.random.default_rng(seed)
+    x = noisy(n, seed=seed)
+    for at in rng.integers(0, n - 30, n // 60):
+        kind, w = rng.integers(0, 5), rng.integers(1, 6)
+        if kind == 0:
+            x[at : at + w] += 25 * rng.choice([-1, 1])
+        elif kind == 1:
+            x[at : at + rng.integers(12, 20)] = x[at]
+        elif kind == 2:
+            x[at : at + 3 * w] = np.nan
+        elif kind == 3:
+            x[at:] += 15 * rng.choice([-1, 1])
+        else:
+            x[at : at + w] = 200.0
+    return [None if rng.random() < 0.02 else v for v in x]
+
+
+def test_a_series_in_many_tasks_is_judged_as_a_whole(spark):
+    """One label tuple with most rows: the flags are those of the undivided series,
+    whatever the tasks, pieces and batches."""
+    x = rough(6000, 1)
+    series = {("hot", "temp_c", None): x, ("b", "temp_c", None): rough(300, 2), ("z", "temp_c", b"\2"): rough(500, 3)}
+    want, rid = [], 0
+    for one in series.values():
+        stored = np.array([i for i, v in enumerate(one) if v is not None])
+        found = masks([one[i] for i in stored])
+        assert len(one) < 6000 or all(found.values())
+        want += [(rid + int(i) // 60, int(i) % 60, k) for k, at in found.items() for i in stored[at]]
+        rid += -(-len(one) // 60)
+    df = records(spark, series, redeliver={3, 40, 77}).cache()
+    try:
+        for tasks, piece, batch in ((1, 1 << 18, 1 << 19), (3, 1000, 700), (7, 90, 100), (40, 41, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+            got = spikes.flag(df, limits(spark), LABELS, piece=piece, batch=batch).collect()
+            assert sorted((r["record_id"], r["slot"], r["reason"]) for r in got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_spikes_come_from_the_details():
+    x = noisy(seed=5)
+    x[500:502] += 25
+    x[100] -= 30
+    assert masks(x)["spike"] == [100, 500, 501]
+    assert masks(x, detail=np.inf)["spike"] == []  # no detail counts as an edge
+    x[700] += 9
+    assert masks(x)["spike"] == [100, 500, 501, 700]
+    assert masks(x, detail=3.0)["spike"] == [100, 500, 501]  # the edges of 700 are too small
+    # A gradual peak: its top lies beyond the limit, but nothing in it is sudden.
+    peak = noisy(seed=6)
+    peak[400:461] += 9.0 * np.exp(-(np.arange(-30, 31) ** 2) / 60.0)
+    assert masks(peak)["spike"] == []
+
+
+def test_spike_at_a_change_of_level():
+    x = noisy(seed=7, scatter=0.3)
+    x[300:] += 8
+    x[300:304] -= 60
+    assert masks(x)["spike"] == [300, 301, 302, 303]
+
+
+def test_crowded_series(spark):
+    # More records in one hour than a batch may hold: still every impossible sample.
     many = {(f"s{i}", "temp_c", None): [20.0, 999.0] for i in range(50)}
     shared = records(spark, many).withColumn("instance", F.lit("shared")).where("value is not null")
-    assert len(flagged(spikes.flag(shared, limits(spark), LABELS, block_records=1))) == 50
+    assert len(flagged(spikes.flag(shared, limits(spark), LABELS, piece=41, batch=1))) == 50
 
 
 def test_quantity_without_limits_and_empty(spark):
