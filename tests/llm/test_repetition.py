@@ -24,8 +24,12 @@ def tools():
     return rep.splitter(), rep.Fertility(vocab.load_ranks(vocab.DEFAULT_VOCAB))
 
 
-def share(tools, text, limit=None):
-    return rep.measure(text, *tools, limit)[-1]
+def measure(tools, text):
+    return {k: v[0] for k, v in rep.measure([text], *tools, share=True).items()}
+
+
+def share(tools, text):
+    return measure(tools, text)["repeated_share"]
 
 
 def brute(ids, points):
@@ -89,21 +93,64 @@ def test_unspaced_scripts(tools):
     assert share(tools, f"{a}，天 {a[:6]}\n{a[6:]}") == pytest.approx(12 / 25)
 
 
-def test_fertility_and_bound(tools):
-    text = "The quick brown fox jumps over the lazy dog. Größe 从前有一个人. " * 3
-    script, letters, n, per, fallback, entropy, redundancy, got = rep.measure(text, *tools, None)
-    assert script == "latin" and letters > 0 and per == pytest.approx(letters / n)
-    assert 0 < fallback < 1 and 0 < entropy <= np.log2(n)
-    assert redundancy >= 2 * got > 1
+def test_fertility(tools):
+    got = measure(tools, "The quick brown fox jumps over the lazy dog. Größe 从前有一个人. " * 3)
+    n = got["n_tokens"]
+    assert got["script"] == "latin" and got["letters_per_token"] == pytest.approx(got["n_letters"] / n)
+    assert 0 < got["fallback_share"] < 1 and 0 < got["token_entropy"] <= np.log2(n)
+    assert got["run_deficit"] > 0.9 and got["repeated_share"] > 0.5
+    # The cat sat on the cat: entropy of the tokens by hand.
+    words = "the cat sat on the cat"
+    ids = np.concatenate([tools[1].encoding.encode_ordinary(" " + w) for w in words.split()])
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert measure(tools, words)["token_entropy"] == pytest.approx(-(p * np.log2(p)).sum())
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("the cat of und der große 山 水 при 7".split()), max_size=60))
-def test_the_band_rejects_no_case(tools, words):
-    row = rep.measure(" ".join(words), *tools, None)
-    assert row[-2] >= 2 * row[-1] - 1e-9
-    filtered = rep.measure(" ".join(words), *tools, rep.LIMIT)[-1]
-    assert (filtered or 0) == row[-1] or row[-1] <= rep.LIMIT
+def test_the_deficit_is_twice_the_share_of_repeated_runs(tools, words):
+    ids = [t for w in words for t in tools[1].encoding.encode_ordinary(" " + w)]
+    runs = [tuple(ids[i : i + rep.RUN_TOKENS]) for i in range(len(ids) - rep.RUN_TOKENS + 1)]
+    again = 1 - len(set(runs)) / len(runs) if runs else 0.0
+    got = measure(tools, " ".join(words))["run_deficit"]
+    counts = np.unique(runs, axis=0, return_counts=True)[1] if runs else np.ones(1)
+    assert got == pytest.approx((counts * np.log2(counts)).sum() / max(len(runs), 1)) or not any(w.isalpha() for w in words)
+    assert got >= 2 * again - 1e-9 or not any(w.isalpha() for w in words)
+
+
+def test_documents_are_measured_alike_in_any_batch(tools):
+    texts = ["alpha beta " * 9, None, "от слов " * 4, "", "去" * 30, "one two", "alpha beta " * 9]
+    whole = rep.measure(texts, *tools, share=True)
+    for i, t in enumerate(texts):
+        for name, v in measure(tools, t).items():
+            assert v == whole[name][i]
+
+
+def test_bands_by_script(spark):
+    """Medians and deviations within half a step; the rejected documents are those above
+    the band of their own script."""
+    rng = np.random.default_rng(1)
+    rows = [("latin", float(v)) for v in rng.normal(4, 0.5, 999)] + [("greek", float(v)) for v in rng.normal(1, 0.1, 501)]
+    table = spark.createDataFrame(
+        [(i, s, 10, 10, v, 0.0, v, 0.1 * v) for i, (s, v) in enumerate(rows)], rep.SCHEMA
+    )
+    edges = {r["script"]: r for r in rep.bands(table, 3.0).collect()}
+    for script in ("latin", "greek"):
+        v = np.array([x for s, x in rows if s == script])
+        mad = np.median(np.abs(v - np.median(v)))
+        assert edges[script]["n_docs"] == len(v)
+        assert edges[script]["token_entropy_low"] == pytest.approx(np.median(v) - 3 * 1.4826 * mad, abs=0.02)
+        assert edges[script]["letters_per_token_high"] == pytest.approx(np.median(v) + 3 * 1.4826 * mad, abs=0.02)
+    want = {i for i, (s, v) in enumerate(rows) if 0.1 * v > edges[s]["run_deficit_high"]}
+    assert want and {r["doc_id"] for r in rep.rejected(table, rep.bands(table, 3.0)).collect()} == want
+
+
+def test_found_reads_the_bands(spark, monkeypatch):
+    a = "alpha beta gamma delta epsilon zeta eta theta "
+    docs = spark.createDataFrame([(1, a * 5, "x"), (2, a, "x")], SCHEMA)
+    assert [r["doc_id"] for r in rep.found(docs).collect()] == [1]
+    monkeypatch.setattr(rep, "DEFICIT_EDGE", (99.0, 99.0))  # nothing lies above the band
+    assert rep.found(docs).count() == 0
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):
@@ -111,10 +158,10 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     ranks = vocab.load_ranks(vocab.DEFAULT_VOCAB)
     texts = [" ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(9)) for j in range(20)] * 2
     whole = rep.Fertility(ranks)
-    want = [rep.measure(t, units, whole, None) for t in texts]
+    want = [measure((units, whole), t) for t in texts]
     monkeypatch.setattr(rep, "KEPT_WORDS", 5)
     small = rep.Fertility(ranks)
-    assert [rep.measure(t, units, small, None) for t in texts] == want
+    assert [measure((units, small), t) for t in texts] == want
 
 
 def test_queries_of_small_tables(spark):

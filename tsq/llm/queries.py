@@ -76,7 +76,7 @@ def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.bands(repetition.measured(_documents(spark, sf_dir, "text"), limit=1.0))
+    return repetition.bands(repetition.measured(_documents(spark, sf_dir, "text"), share=False))
 
 
 def queries() -> dict[str, Query]:
