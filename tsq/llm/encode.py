@@ -16,43 +16,39 @@ special tokens are ordinary text; every row gives one row, repeated ids included
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsq.llm import vocab
 from tsq.plans.session import cut, let, literal_columns
 
-NO_RANK = 1 << 20
+NO_RANK = vocab.PAIR_BASE
+AT_ONCE = 64  # ids of a unit from which on all pairs of a rank merge at once
 HOT_WORDS = 1 << 17
 HOT_SLOTS = 1 << 20
-LONGEST_FOLD = 2000
 LONGEST_HOT = 48  # characters of a dictionary word: bounds the dictionary's bytes
 _tables: dict[tuple[str, str], list[Column]] = {}
 
 
 class Codec:
-    """Columns that encode and decode with one vocabulary."""
+    """Columns that encode and decode with one vocabulary (fixed tables of a few MB)."""
 
     def __init__(self, spark: SparkSession, path: str = vocab.DEFAULT_VOCAB):
         key = (spark.sparkContext.applicationId, path)
+        if not vocab.merges_in_order(path):
+            raise ValueError(f"{path}: some piece isn't reached by merges of rising rank")
         if key not in _tables:
             _tables[key] = self._literals(spark, path)
-        self.shift, self.slots, self.bytes, self.joinable, self.pieces = _tables[key]
+        self.offsets, self.slots, self.bytes, self.joinable, self.pieces = _tables[key]
 
     @staticmethod
     def _literals(spark: SparkSession, path: str) -> list[Column]:
         import pyarrow as pa
 
-        shift, slots = vocab.pair_table(path)
+        offsets, slots = vocab.pair_table(path)
         table = pa.table(
             {
-                "shift": pa.array([shift], pa.list_(pa.int32())),
+                "offsets": pa.array([offsets.astype("int32")], pa.list_(pa.int32())),
                 "slots": pa.array([slots], pa.list_(pa.int64())),
                 "bytes": pa.array([vocab.byte_ids(path)], pa.list_(pa.int32())),
                 "joinable": pa.array([list(vocab.joinable(path))], pa.list_(pa.int8())),
@@ -62,44 +58,74 @@ class Codec:
         return literal_columns(spark.createDataFrame(table))
 
     def rank(self, a: Column, b: Column) -> Column:
-        """Id of the union of two ids, NO_RANK where there is none."""
-        key = a.cast("long") * vocab.PAIR_BASE + b
-        at = (key % vocab.HASH_BASE + F.get(self.shift, (key % vocab.BUCKETS).cast("int"))) % vocab.SLOTS
-        return let(
-            F.get(self.slots, at.cast("int")),
-            lambda e: F.when(
-                F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(vocab.PAIR_BASE - 1)).cast("int")
-            ).otherwise(F.lit(NO_RANK)),
-        )
+        """Id of the union of two ids; NO_RANK or more where there is none."""
+        return F.get(self.slots, F.get(self.offsets, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
+
+    def _item(self, a: Column, b: Column, place: Column) -> Column:
+        """A token a before b at a place as one number: its rank with b, the place, a.
+        So the least item is the leftmost of those of the least rank."""
+        rank = F.least(self.rank(a, b), F.lit(NO_RANK).cast("long"))
+        return F.shiftleft(rank, 46).bitwiseOR(F.shiftleft(place.cast("long"), 17)).bitwiseOR(a.cast("long"))
+
+    def _items(self, ids: Column) -> Column:
+        """Items of ids; nothing joins with the last."""
+        inner = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: self._item(a, F.get(ids, i + 1), i))
+        return F.concat(inner, F.array(_last(F.element_at(ids, -1), F.size(ids) - 1)))
+
+    def _merge_one(self, items: Column, least: Column) -> Column:
+        """The pair of the least item merged; only the ranks beside it change."""
+
+        def merge(p: Column) -> Column:
+            new, place = _rank(least).cast("int"), _place(least)
+            after, before = F.get(items, p + 1), F.get(items, p - 2)
+            joined = F.when(after.isNull(), _last(new, place)).otherwise(self._item(new, _id(after), place))
+            head = F.concat(F.slice(items, 1, p - 2), F.array(self._item(_id(before), new, _place(before)), joined))
+            return F.concat(F.when(p > 1, head).otherwise(F.array(joined)), F.slice(items, p + 2, F.size(items)))
+
+        return let(F.array_position(items, least).cast("int"), merge)
+
+    def _merge_all(self, items: Column, least: Column) -> Column:
+        """Every pair of the least rank merged in one pass, from the left.  Of pairs
+        that overlap (a letter repeated) every other one merges."""
+        new = _rank(least).cast("int")
+        ids = F.transform(items, _id)
+        hits = F.filter(F.transform(items, lambda e, i: F.when(_rank(e) == new, i)), lambda i: i.isNotNull())
+
+        def every_other(h: Column) -> Column:
+            first = F.filter(h, lambda x, k: (k == 0) | (F.get(h, k - 1) != x - 1))
+            last = F.filter(h, lambda x, k: F.coalesce(F.get(h, k + 1) != x + 1, F.lit(True)))
+            return let(last, lambda e: F.flatten(F.transform(first, lambda x, j: F.sequence(x, F.get(e, j), F.lit(2)))))
+
+        def merged(m: Column, old: Column) -> Column:
+            def upto(p: Column, k: Column) -> Column:
+                free = F.when(k == 0, F.lit(0)).otherwise(F.get(m, k - 1) + 2)
+                return F.concat(F.slice(old, free + 1, p - free), F.array(new))
+
+            return F.concat(F.flatten(F.transform(m, upto)), F.slice(old, F.element_at(m, -1) + 3, F.size(old)))
+
+        return let(let(ids, lambda old: let(let(hits, every_other), lambda m: merged(m, old))), self._items)
 
     def fold(self, unit: Column) -> Column:
-        """Ids of an array of byte ids: ranked merges, lowest first."""
-
-        def step(s: Column, _: Column) -> Column:
-            def merge(p: Column) -> Column:
-                ids, ranks, n = s["ids"], s["ranks"], F.size(s["ids"])
-                new = s["least"]
-                left = F.when(p > 1, F.array(self.rank(F.get(ids, p - 2), new))).otherwise(_ints())
-                right = F.when(p < n - 1, F.array(self.rank(new, F.get(ids, p + 1)))).otherwise(_ints())
-                merged = F.concat(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, n))
-                pairs = F.concat(
-                    F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)
-                )
-                return let(pairs, lambda x: _state(merged, x))
+        """Ids of an array of byte ids (not empty): ranked merges, lowest first.
 
-            going = s["least"] < NO_RANK
-            return F.when(going, let(F.array_position(s["ranks"], s["least"]).cast("int"), merge)).otherwise(s)
+        A merge never makes a pair of its own or a lower rank (``vocab.merges_in_order``),
+        so all pairs of the least rank may merge in the same round.  Long units do so,
+        which keeps a round linear; short ones merge the leftmost."""
+
+        def step(items: Column, _: Column) -> Column:
+            def merge(least: Column) -> Column:
+                several = F.when(F.size(items) > AT_ONCE, self._merge_all(items, least))
+                return F.when(_rank(least) < NO_RANK, several.otherwise(self._merge_one(items, least))).otherwise(items)
+
+            return let(F.array_min(items), merge)
 
-        pairs = F.transform(
-            F.slice(unit, 1, F.greatest(F.size(unit) - 1, F.lit(0))),
-            lambda a, i: self.rank(a, F.get(unit, i + 1)),
-        )
         rounds = F.sequence(F.lit(1), F.greatest(F.size(unit) - 1, F.lit(1)))
-        return F.aggregate(rounds, let(pairs, lambda x: _state(unit, x)), step, lambda s: s["ids"])
+        return F.aggregate(rounds, self._items(unit), step, lambda items: F.transform(items, _id))
 
     def encode_word(self, word: Column) -> Column:
         """Ids of one word: cut into units no merge can cross, each unit folded."""
-        hexed = F.hex(F.encode(word, "UTF-8"))
+        # One character for each byte, its code point the byte.
+        bytewise = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
 
         def units(raw: Column) -> Column:
             n = F.size(raw)
@@ -127,10 +153,7 @@ class Codec:
             )
             return let(starts, cuts)
 
-        raw = F.transform(
-            F.sequence(F.lit(1), F.length(hexed), F.lit(2)),
-            lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int"),
-        )
+        raw = F.transform(bytewise, F.ascii)
         return F.when(F.length(word) > 0, let(raw, units)).otherwise(_ints())
 
     def _byte(self, b: Column) -> Column:
@@ -147,10 +170,21 @@ def _ints() -> Column:
     return F.array().cast("array<int>")
 
 
-def _state(ids: Column, ranks: Column) -> Column:
-    return F.struct(
-        ids.alias("ids"), ranks.alias("ranks"), F.coalesce(F.array_min(ranks), F.lit(NO_RANK)).alias("least")
-    )
+def _last(a: Column, place: Column) -> Column:
+    item = F.shiftleft(place.cast("long"), 17).bitwiseOR(a.cast("long"))
+    return F.lit(NO_RANK << 46).bitwiseOR(item)
+
+
+def _rank(item: Column) -> Column:
+    return F.shiftright(item, 46)
+
+
+def _place(item: Column) -> Column:
+    return F.shiftright(item, 17).bitwiseAND(F.lit((1 << 29) - 1))
+
+
+def _id(item: Column) -> Column:
+    return item.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
 
 
 def words(text: Column) -> Column:
@@ -187,7 +221,7 @@ class Dictionary:
             .toArrow()
         )
         self.size = found.num_rows
-        self.slots, self.words, self.ids = literal_columns(spark.createDataFrame(self._packed(found)))
+        self.words, self.ids = literal_columns(spark.createDataFrame(self._packed(found)))
 
     @staticmethod
     def _packed(found):
@@ -198,39 +232,14 @@ class Dictionary:
         found = found.sort_by([("n", "ascending"), ("word", "descending")])
         slots = np.full(HOT_SLOTS, -1, np.int32)
         slots[found["slot"].to_numpy()] = np.arange(found.num_rows, dtype=np.int32)
-        ints = pa.list_(pa.int32())
-        return pa.table(
-            {
-                "slots": pa.array([slots], ints),
-                "words": pa.array([found["word"].to_pylist()], pa.list_(pa.string())),
-                "ids": pa.array([found["ids"].to_pylist()], pa.list_(ints)),
-            }
-        )
+        at = pa.array(slots, mask=slots < 0)
+        whole = pa.array([0, HOT_SLOTS], pa.int32())
+        columns = {c: found[c].combine_chunks().take(at) for c in ("word", "ids")}
+        return pa.table({c: pa.ListArray.from_arrays(whole, v) for c, v in columns.items()})
 
     def ids_of(self, word: Column, codec: Codec) -> Column:
-        at = F.get(self.slots, F.pmod(F.xxhash64(word), F.lit(HOT_SLOTS)).cast("int"))
-        return let(
-            at,
-            lambda i: F.when(F.get(self.words, i) == word, F.get(self.ids, i)).otherwise(codec.encode_word(word)),
-        )
-
-
-def library_encoder(spark: SparkSession, path: str):
-    """A column function that encodes whole texts with the vocabulary's own library."""
-    ranks = spark.sparkContext.broadcast(vocab.load_ranks(path))
-
-    @F.pandas_udf("array<int>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import public_tokenizers
-        import tiktoken
-
-        encoding = tiktoken.Encoding(
-            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={}
-        )
-        for batch in texts:
-            yield pd.Series([None if t is None else encoding.encode_ordinary(t) for t in batch], dtype=object)
-
-    return run
+        at = F.pmod(F.xxhash64(word), F.lit(HOT_SLOTS)).cast("int")
+        return F.when(F.get(self.words, at) == word, F.get(self.ids, at)).otherwise(codec.encode_word(word))
 
 
 def encode(
@@ -239,28 +248,14 @@ def encode(
     ids: str = "ids",
     path: str = vocab.DEFAULT_VOCAB,
     hot_words: int = HOT_WORDS,
-    longest_fold: int = LONGEST_FOLD,
 ) -> DataFrame:
-    """``docs`` with a column of token ids (array<int>) added or replaced.
-
-    The time of a fold grows with the square of the word.  A text with a word of more
-    than ``longest_fold`` characters is therefore encoded by the vocabulary's own
-    library, with the same ids; of all other texts the library sees nothing."""
+    """``docs`` with a column of token ids (array<int>) added or replaced.  Counts the
+    words of ``docs`` in a job of its own when it is called."""
     codec = Codec(docs.sparkSession, path)
     hot = Dictionary(docs.select(text), codec, text, hot_words)
-
-    def known(word: Column) -> Column:
-        return F.when(F.length(word) <= longest_fold, hot.ids_of(word, codec))
-
-    # A list of lists with a NULL in it flattens to NULL.
-    folded = docs.withColumn(ids, F.flatten(F.transform(words(F.col(text)), known)))
-    whole = library_encoder(docs.sparkSession, path)(F.when(F.col(ids).isNull(), F.col(text)))
-    return folded.withColumn(ids, F.coalesce(F.col(ids), whole))
+    return docs.withColumn(ids, F.flatten(F.transform(words(F.col(text)), lambda w: hot.ids_of(w, codec))))
 
 
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "text", path: str = vocab.DEFAULT_VOCAB) -> DataFrame:
     """``tokens`` with the decoded text added or replaced."""
     return tokens.withColumn(text, Codec(tokens.sparkSession, path).decode(F.col(ids)))
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

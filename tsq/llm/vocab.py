@@ -22,10 +22,8 @@ PRETOKEN = (
     f"| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
-PAIR_BASE = 1 << 16  # a pair of ids is one long: left * PAIR_BASE + right
-BUCKETS = 65521  # primes; two pairs never agree modulo both
-HASH_BASE = 262139
-SLOTS = 524287
+PAIR_BASE = 1 << 16  # ids are less
+NO_PAIR = 1 << 40
 
 
 @lru_cache(maxsize=4)
@@ -65,32 +63,56 @@ def joinable(path: str) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """A perfect hash from pairs of ids to the id of their union.
-
-    Returns (displacements, slots).  The pair ``key`` is looked up at slot
-    ``(key % HASH_BASE + displacements[key % BUCKETS]) % SLOTS``; a slot holds
-    ``key * PAIR_BASE + id`` or 0.  Every cut of a piece into two pieces is a pair,
-    which is the rule of the rank file: two neighbours may merge when their
-    concatenation has a rank."""
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of all pairs as one sparse matrix whose rows overlap.
+
+    Returns (offsets, slots).  The pair of ids a and b has the slot ``offsets[a] + b``,
+    which holds ``a * PAIR_BASE + rank`` if they may merge, and something with another
+    row than a if not.  Every cut of a piece into two pieces is a pair, which is the
+    rule of the rank file: two neighbours may merge when their concatenation has a
+    rank."""
     ranks = load_ranks(path)
-    found = {}
+    size = max(ranks.values()) + 1
+    rows: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
             if a is not None and b is not None:
-                found[a * PAIR_BASE + b] = rank
-    groups: dict[int, list[int]] = {}
-    for key in found:
-        groups.setdefault(key % BUCKETS, []).append(key)
-    shift = [0] * BUCKETS
-    slots = [0] * SLOTS
-    for bucket, keys in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-        at = [key % HASH_BASE for key in keys]
-        d = bucket * 7 % SLOTS
-        while any(slots[(x + d) % SLOTS] for x in at):
-            d = (d + 1) % SLOTS
-        shift[bucket] = d
-        for key, x in zip(keys, at):
-            slots[(x + d) % SLOTS] = key * PAIR_BASE + found[key]
-    return shift, slots
+                rows.setdefault(a, {})[b] = rank
+    offsets = np.zeros(size, np.int64)
+    slots, used = np.full(size, NO_PAIR, np.int64), np.zeros(size, bool)
+    begin, step = 0, 256
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        columns = np.array(list(row))
+        at = begin  # rows get shorter, so the next one is looked for from the last place
+        while True:
+            if at + step + size > len(slots):
+                slots, used = np.append(slots, np.full(size, NO_PAIR)), np.append(used, np.zeros(size, bool))
+            free = ~used[at + np.arange(step)[:, None] + columns].any(axis=1)
+            if free.any():
+                break
+            at += step
+        begin = at
+        offsets[a] = at + int(free.argmax())
+        slots[offsets[a] + columns] = a * PAIR_BASE + np.array(list(row.values()))
+        used[offsets[a] + columns] = True
+    slots = np.append(slots, np.full(size, NO_PAIR))
+    return offsets, slots[: int(offsets.max()) + size]
+
+
+@lru_cache(maxsize=4)
+def merges_in_order(path: str) -> bool:
+    """Whether lowest-first merging makes each piece of its bytes by merges of rank at
+    most its own.  Then a merge of rank r never makes a pair of rank r or less: such a
+    pair would join to a piece whose parts had merged before."""
+    ranks = load_ranks(path)
+    for piece, rank in ranks.items():
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            pairs = [ranks.get(a + b, len(ranks) * 2) for a, b in zip(parts, parts[1:])]
+            least = min(pairs)
+            if least > rank:
+                return False
+            at = pairs.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
