@@ -26,7 +26,7 @@ def test_create_get_and_exists(table):
     catalog.create_table(table)
     assert catalog.get("foo.bar.something_used") is table
     assert catalog.get("nothing") is None
-    with pytest.raises(TableExists, match="table name foo.bar.something_used has already existed"):
+    with pytest.raises(TableExists, match="already holds a table foo.bar.something_used"):
         catalog.create_table(table)
 
 

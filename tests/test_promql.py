@@ -29,6 +29,7 @@ NOW = Instant(1_000_000_000)
 VALUE = Literal("value")
 
 
+# Fixed value: the query text of the fixtures.
 def test_composite():
     text = 'sum (rate(foo.bar.something_used{env="production", status!~"4.."}[5m] offset 1w)) by (test)'
     scan = Scan(

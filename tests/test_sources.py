@@ -47,6 +47,7 @@ def test_written_metric_reads_back_and_has_hints(spark, tmp_path):
     names = {meta.column(i).path_in_schema: meta.column(i) for i in range(meta.num_columns)}
     assert not any("DICTIONARY" in e for e in names["key"].encodings)
     assert "parquet.bloom.filter.enabled#key" in index_options(SCHEMA)
+    assert index_options(SCHEMA)["parquet.page.row.count.limit"] == "1000"  # the block size of the sparse label
     assert names["env"].statistics.has_min_max
 
 

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tsq.errors import TsqError
+from tsq.errors import TsqError, TypeMismatch
 
 
 class RateOfBool(TsqError):
     def __init__(self):
-        super().__init__("rate function does not support bool type")
+        super().__init__("differences need numbers: the field is bool")
 
 
 def rate(values: Column) -> Column:
@@ -62,4 +62,12 @@ def _numeric(kind: str) -> None:
         raise RateOfBool()
 
 
-FUNCTIONS: dict[str, SeriesFunction] = {"rate": SeriesFunction(rate, _numeric)}
+def _number(kind: str) -> None:
+    if kind == "bool":
+        raise TypeMismatch("pad argument", "number", "bool")
+
+
+FUNCTIONS: dict[str, SeriesFunction] = {
+    "rate": SeriesFunction(rate, _numeric),
+    "pad": SeriesFunction(lambda values: pad(values, 0), _number),
+}

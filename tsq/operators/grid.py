@@ -7,6 +7,7 @@ with a list of ``width`` slots, NULL where no sample is stored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,10 @@ def order_of(df: DataFrame, time: str, tie: str | None) -> Column:
         return F.col(time)
     if not isinstance(df.schema[tie].dataType, T.IntegralType):
         return F.struct(time, tie)
-    us = micros(F.col(time), df.schema[time].dataType).cast("decimal(19,0)")
-    return us * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
+    us = micros(F.col(time), df.schema[time].dataType).cast("decimal(18,0)")
+    # The tie moves to 0 <= tie < 2**64, so it never reaches the next microsecond.
+    moved = F.coalesce(F.col(tie), F.lit(0)).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return us * F.lit(str(1 << 64)).cast("decimal(20,0)") + moved
 
 
 def gridded(
@@ -81,9 +84,19 @@ def pack(
     chunk = floor_div(F.col("slot"), width).alias("chunk")
     inside = F.pmod(F.col("slot"), F.lit(width)).cast("int")
     lists = cells.groupBy(*labels, chunk).agg(
-        F.map_from_entries(F.collect_list(F.struct(inside.alias("k"), F.col(value).alias("v")))).alias("cells")
+        F.sort_array(F.collect_list(F.struct(inside.alias("k"), F.col(value).alias("v")))).alias("cells")
     )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("cells", i))
+
+    def empty(n: Column) -> Column:
+        return F.array_repeat(F.lit(None).cast(df.schema[value].dataType), n)
+
+    def upto(cell: Column, i: Column) -> Column:
+        """The empty slots before a stored one, and its sample."""
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("cells"), i - 1)["k"])
+        return F.concat(empty(cell["k"] - before - 1), F.array(cell["v"]))
+
+    rest = empty(F.lit(width - 1) - F.element_at("cells", -1)["k"])
+    dense = F.concat(F.flatten(F.transform("cells", upto)), rest)
     return lists.select(
         *labels, slot_start(F.col("chunk") * width, kind, grid).alias("chunk_start"), dense.alias(value)
     )
@@ -104,8 +117,8 @@ def unpack(
     step = F.col("_pos").cast("long") * F.lit(grid.unit.millis * 1000)
     at = from_micros(micros(F.col(chunk), kind) + step, kind)
     rows = df.select(*labels, *extra, chunk, F.posexplode(zipped).alias("_pos", "_cell"))
-    stored = F.coalesce(*[F.col("_cell")[v].cast("string") for v in values]).isNotNull()
-    return rows.where(stored).select(
+    stored = [F.col("_cell")[v].isNotNull() for v in values]
+    return rows.where(reduce(lambda a, b: a | b, stored)).select(
         *labels, *extra, at.alias(time), *[F.col("_cell")[v].alias(v) for v in values]
     )
 

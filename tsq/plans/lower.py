@@ -56,17 +56,17 @@ def _call(node: ResolvedCall) -> DataFrame:
     come out NULL left out."""
     scan = source(node)
     table, labels, value = scan.table, list(labels_of(node)), node.field
+    if isinstance(node.child, ResolvedScan):
+        child = lower_scan(node.child, with_tie=True)
+        tie = TIE if TIE in child.columns else None
+    else:
+        child, tie = lower(node.child), None
+    rows = child.select(*labels, "ts", value, *([tie] if tie else []))
     if node.name == "rate":
-        if isinstance(node.child, ResolvedScan):
-            child = lower_scan(node.child, with_tie=True)
-            tie = TIE if TIE in child.columns else None
-        else:
-            child, tie = lower(node.child), None
-        rows = child.select(*labels, "ts", value, *([tie] if tie else []))
         return grid.differences(rows, labels, "ts", value, table.grid, tie)
-    packed = grid.pack(lower(node.child), labels, "ts", value, table.grid)
-    applied = packed.withColumn(value, FUNCTIONS[node.name].apply(F.col(value)))
-    return grid.unpack(applied, labels, "chunk_start", [value], table.grid)
+    packed = grid.pack(rows, labels, "ts", value, table.grid, tie)
+    applied = FUNCTIONS[node.name].apply(F.col(value)).cast(packed.schema[value].dataType)
+    return grid.unpack(packed.withColumn(value, applied), labels, "chunk_start", [value], table.grid)
 
 
 def _aggregate(node: ResolvedAggregate) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -22,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table that a query writes and reads."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -65,18 +72,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 SMALL_ROWS = 50_000
+SMALL_BYTES = 32 << 20
 SALTS = 64
 
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether a table of so many counted rows may be broadcast: at most SMALL_ROWS rows
+    and SMALL_BYTES bytes, the bytes counted from its values."""
+    from pyspark.sql import functions as F
+
+    if rows > SMALL_ROWS:
+        return False
+    size = F.length(F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= SMALL_BYTES
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int, spread: str, how: str = "inner"):
     """``big`` joined with ``small``, of which ``n_small`` rows were counted.
 
-    Up to SMALL_ROWS rows the small side is broadcast, so a hot key of the big side
-    stays where it is.  Beyond, the small side is repeated for SALTS salts and the big
-    side spread over them by a hash of its column ``spread``."""
+    A small side within SMALL_ROWS and SMALL_BYTES is broadcast, so a hot key of the big
+    side stays where it is.  Beyond, the small side is repeated for SALTS salts and the
+    big side spread over them by a hash of its column ``spread``."""
     from pyspark.sql import functions as F
 
-    if n_small <= SMALL_ROWS:
+    if is_small(small, n_small):
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsq import metric_queries
+from tsq import metric_queries, operator_queries  # noqa: F401  (registers its queries)
 from tsq.metric_queries import flagship  # noqa: F401
 from tsq.operators import frequency, rolling, spikes
 from tsq.plans.aggregates import read_plans

@@ -27,20 +27,32 @@ def bloom_bits(elements: int, rate: float = BLOOM_RATE) -> tuple[int, int]:
 def index_options(schema: MetricSchema, distinct: dict[str, int] | None = None) -> dict[str, str]:
     """Write options for the index hints.
 
-    Sparse labels get a Bloom filter per row group.  Parquet writes it only where the
-    column is not dictionary-encoded, so those columns do without a dictionary.  For
-    inverted labels the dictionary and the min-max statistics serve."""
+    Sparse labels get a Bloom filter per row group, and pages of at most their
+    ``block_size`` rows, the blocks that the page index can skip.  Parquet writes a Bloom
+    filter only where the column is not dictionary-encoded, so those columns do without
+    a dictionary.  For inverted labels the dictionary and the min-max statistics serve."""
     options = {}
     for name, index in schema.index.items():
         if index.kind == "sparse":
             options[f"parquet.bloom.filter.enabled#{name}"] = "true"
             options[f"parquet.bloom.filter.fpp#{name}"] = str(BLOOM_RATE)
             options[f"parquet.enable.dictionary#{name}"] = "false"
-            if distinct and name in distinct:
+            if distinct and distinct.get(name):
                 options[f"parquet.bloom.filter.expected.ndv#{name}"] = str(distinct[name])
+    blocks = [i.block_size for i in schema.index.values() if i.kind == "sparse" and i.block_size]
+    if blocks:
+        options["parquet.page.row.count.limit"] = str(min(blocks))
     return options
 
 
+def distinct_values(table: Table) -> dict[str, int]:
+    """About how many values each sparse label has: one row, counted before the shuffle."""
+    sparse = [name for name, index in table.schema.index.items() if index.kind == "sparse"]
+    if not sparse:
+        return {}
+    return table.df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in sparse]).first().asDict()
+
+
 def write(
     table: Table,
     path: str,
@@ -52,7 +64,9 @@ def write(
     labels and time, Bloom filters on sparse labels, one directory a day on request.
 
     With ``by_day`` rows are spread by day and a hash of the series, so a busy day is
-    written by several tasks."""
+    written by several tasks.  The Bloom filters are made for ``distinct`` values of each
+    sparse label, counted first where not given."""
+    distinct = distinct_values(table) if distinct is None else distinct
     inverted = [name for name, index in table.schema.index.items() if index.kind == "inverted"]
     df = table.df
     if by_day:
