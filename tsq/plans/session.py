@@ -87,15 +87,24 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return (df.agg(F.sum(size)).first()[0] or 0) <= SMALL_BYTES
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int, spread: str, how: str = "inner"):
-    """``big`` joined with ``small``, of which ``n_small`` rows were counted.
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    n_small: int,
+    spread: str,
+    how: str = "inner",
+    fixed_width: bool = False,
+) -> DataFrame:
+    """``big`` joined with ``small``, of which ``n_small`` rows were counted; with
+    ``fixed_width`` their bytes are bounded by the count.
 
     A small side within SMALL_ROWS and SMALL_BYTES is broadcast, so a hot key of the big
     side stays where it is.  Beyond, the small side is repeated for SALTS salts and the
     big side spread over them by a hash of its column ``spread``."""
     from pyspark.sql import functions as F
 
-    if is_small(small, n_small):
+    if n_small <= SMALL_ROWS and (fixed_width or is_small(small, n_small)):
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
