@@ -11,7 +11,7 @@ import pytest
 from tests.oracle import assert_same, connect
 
 
-@pytest.mark.parametrize("name", ["p1_distinct", "p5_percentiles", "p6_decoded"])
+@pytest.mark.parametrize("name", ["p1_distinct", "p5_percentiles", "p5_select", "p6_decoded"])
 def test_query_matches_sql(spark, sf_dir, name):
     from tsq.llm import queries
 

@@ -91,3 +91,42 @@ def test_ranks_are_exact():
     n = np.array([1, 2, 10, 999, 1000, 1001, 10**12])
     for i, p in enumerate(pc.PERMILLES):
         assert pc.ranks(n)[:, i].tolist() == [-(-int(x) * p // 1000) for x in n]
+
+
+def test_ruled_out_values_are_discarded(spark, monkeypatch):
+    """Each round reads fewer values than the one before."""
+    sizes = []
+    plain = pc._narrowed
+
+    def counted(partials):
+        out = plain(partials)
+        kept = out.selectExpr("sum(length(vals) div 8)").first()[0] or 0
+        sizes.append((partials.selectExpr("sum(length(vals) div 8)").first()[0] or 0, kept))
+        return out
+
+    monkeypatch.setattr(pc, "_narrowed", counted)
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
+    got = pc.percentiles(pc.partial_values(df, PLANS, "ts"), local_limit=100)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows())
+    assert len(sizes) > 2 and all(kept < read for read, kept in sizes)
+
+
+def test_search_of_many_stretches():
+    rng = np.random.default_rng(3)
+    parts = [np.sort(rng.integers(0, 9, n)).astype(float) for n in (0, 1, 5, 40, 0)]
+    v, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    begin = ends - [len(p) for p in parts]
+    for x in range(-1, 10):
+        for right in (True, False):
+            got = pc.search(v, begin, ends, np.full(5, float(x)), right) - begin
+            assert got.tolist() == [int(np.searchsorted(p, x, "right" if right else "left")) for p in parts]
+
+
+def test_pivots_lie_among_the_middle(spark):
+    """The two-level median leaves a quarter of the weight on either side."""
+    rng = np.random.default_rng(4)
+    rows_ = [(1, 0, float(m), int(w)) for m, w in zip(rng.normal(size=3000), rng.integers(1, 9, 3000))]
+    df = spark.createDataFrame(rows_, "inst bigint, target int, median double, weight bigint")
+    pivot = pc._pivots(df).first()["pivot"]
+    whole = sum(w for *_, w in rows_)
+    assert whole / 4 <= sum(w for _, _, m, w in rows_ if m <= pivot) <= whole * 3 / 4

@@ -7,8 +7,8 @@ combine.  A wanted percentile is the value at a rank of the combined values.
 Select: as long as more than ``local_limit`` values of a group could still be the
 wanted one, each partial result proposes the median of its candidates, the weighted
 median of the proposals becomes the pivot, candidates below, at and above it are
-counted, and the ranges the rank is not in are ruled out.  Each round rules out about
-half.  What is left fits one task, which picks the value.  Groups that fit one task
+counted, and the ranges the rank is not in are ruled out and their values discarded.
+Each round rules out about half.  What is left fits one task, which picks the value.  Groups that fit one task
 from the start (most) skip the rounds.
 
 Error: none in rank.  The p-th percentile of n values is the value at rank
@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsq.llm import runs
+from tsq.operators.frequency import label_text
 from tsq.plans.session import cut, join_small
 
 PERMILLES = (500, 900, 950, 990, 999)
@@ -51,7 +51,7 @@ def partial_values(rows: DataFrame, plans: list[dict], time: str) -> DataFrame:
     label = {c: f"label_{i}" for i, c in enumerate(sorted({c for p in plans for c in p["by"]}))}
     field = {c: f"field_{i}" for i, c in enumerate(sorted({p["field"] for p in plans}))}
     wanted = [F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date")).alias("on_day")]
-    wanted += [_text(rows, c).alias(a) for c, a in label.items()]
+    wanted += [label_text(rows, c).alias(a) for c, a in label.items()]
     wanted += [F.col(c).cast("double").alias(a) for c, a in field.items()]
     specs = [(p["plan_id"], [label[c] for c in p["by"]], field[p["field"]]) for p in plans]
     schema = pa.schema(
@@ -94,11 +94,6 @@ def partial_values(rows: DataFrame, plans: list[dict], time: str) -> DataFrame:
     return rows.select(*wanted).mapInArrow(kernel, PARTIAL)
 
 
-def _text(rows: DataFrame, name: str) -> Column:
-    binary = isinstance(rows.schema[name].dataType, T.BinaryType)
-    return F.hex(name) if binary else F.col(name).cast("string")
-
-
 def frequencies(cell: np.ndarray, v: np.ndarray, times: np.ndarray | None):
     """Distinct (cell, value) pairs in order and how often each occurs."""
     order = np.lexsort((v, cell))
@@ -192,38 +187,99 @@ def _small(partials: DataFrame, daily_only: bool) -> DataFrame:
     return keyed.repartition(*group).sortWithinPartitions(*group).mapInArrow(kernel, out)
 
 
+def search(v: np.ndarray, begin: np.ndarray, end: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """For each item the place of x in the sorted stretch begin <= i < end of v, after
+    equal values if ``right``: a binary search of all items at once."""
+    low, high = begin.copy(), end.copy()
+    while len(v):
+        going = low < high
+        if not going.any():
+            break
+        mid = (low + high) // 2
+        at = v[np.minimum(mid, len(v) - 1)]
+        below = going & ((at <= x) if right else (at < x))
+        low, high = np.where(below, mid + 1, low), np.where(going & ~below, mid, high)
+    return low
+
+
+class Open:
+    """Partial results of a batch with the open ranges of their instance: one item for
+    each partial result and range."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        table = pa.Table.from_batches([batch])
+        raw, offsets = runs.payload(table["vals"])
+        times, _ = runs.payload(table["times"])
+        self.v = np.frombuffer(raw.tobytes(), np.float64)
+        self.times = np.frombuffer(times.tobytes(), np.int64)
+        self.upto = np.concatenate([[0], np.cumsum(self.times)])
+        self.bounds = offsets // 8
+        inst = table["inst"].to_numpy()
+        lists = runs._flat(table["open"])
+        sizes = np.diff(lists.offsets.to_numpy())
+        items = lists.flatten()
+        self.row = np.repeat(np.arange(table.num_rows), sizes)
+        self.inst = inst[self.row]
+        self.fields = {f.name: items.field(f.name).to_numpy(zero_copy_only=False) for f in items.type}
+        self.begin, self.end = self.bounds[self.row], self.bounds[self.row + 1]
+
+    def place(self, name: str, right: bool) -> np.ndarray:
+        return search(self.v, self.begin, self.end, self.fields[name], right)
+
+
+def weighted_medians(group: list[np.ndarray], v: np.ndarray, weight: np.ndarray):
+    """The first row, the weighted median and the whole weight of each group."""
+    order = np.lexsort((v, *group))
+    v, weight = v[order], weight[order]
+    at = runs.starts_of(*[g[order] for g in group])
+    if not len(at):
+        return order[:0], v[:0], weight[:0]
+    total = np.cumsum(weight)
+    whole = np.add.reduceat(weight, at)
+    before = total[at] - weight[at]
+    return order[at], v[np.searchsorted(total, before + (whole + 1) // 2)], whole
+
+
 def _proposals(partials: DataFrame) -> DataFrame:
-    """The median of the candidates of each partial result, and their number."""
+    """The median of the candidates of each partial result, and their number; those of a
+    batch reduced to their weighted median."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist(
-                [r for row in range(b.num_rows) for r in medians(b.slice(row, 1))], schema=schema
+            o = Open(b)
+            i, j = o.place("low", True), o.place("high", False)
+            live = np.flatnonzero(i < j)
+            weight = o.upto[j[live]] - o.upto[i[live]]
+            at = np.searchsorted(o.upto[1:], o.upto[i[live]] + (weight + 1) // 2)
+            inst, target = o.inst[live], o.fields["target"][live]
+            rows, median, whole = weighted_medians([target, inst], o.v[at], weight)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(inst[rows]), pa.array(target[rows]), pa.array(median), pa.array(whole)], schema=schema
             )
 
-    def medians(row: pa.RecordBatch):
-        v, times, total = _one(row)
-        for o in row["open"][0].as_py():
-            i, j = np.searchsorted(v, o["low"], "right"), np.searchsorted(v, o["high"], "left")
-            if i < j:
-                before = total[i] - times[i]
-                weight = total[j - 1] - before
-                at = np.searchsorted(total, before + (weight + 1) // 2)
-                yield {**_head(row), "target": o["target"], "median": v[at], "weight": int(weight)}
+    schema = pa.schema(
+        [("inst", pa.int64()), ("target", pa.int32()), ("median", pa.float64()), ("weight", pa.int64())]
+    )
+    return partials.mapInArrow(kernel, "inst bigint, target int, median double, weight bigint")
+
 
-    schema = pa.schema([*_HEAD, ("target", pa.int32()), ("median", pa.float64()), ("weight", pa.int64())])
-    kind = "plan_id int, by_values array<string>, on_day int, target int, median double, weight bigint"
-    return partials.mapInArrow(kernel, kind)
+PIVOT_PARTS = 64
 
 
 def _pivots(proposals: DataFrame) -> DataFrame:
-    """The weighted median of the proposals for each open range."""
-    w = Window.partitionBy(*INSTANCE, "target").orderBy("median").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*INSTANCE, "target")
-    below = proposals.withColumns({"upto": F.sum("weight").over(w), "whole": F.sum("weight").over(everything)})
-    return (
-        below.where(F.col("upto") * 2 >= F.col("whole")).groupBy(*INSTANCE, "target").agg(F.min("median").alias("pivot"))
-    )
+    """A pivot for each open range: the weighted median of the proposals, in two levels.
+    The first takes the medians of up to PIVOT_PARTS parts, so no task holds all
+    proposals of an instance; a quarter of the candidates at least lie on either side."""
+    part = F.pmod(F.xxhash64("median", "weight"), F.lit(PIVOT_PARTS))
+    first = _median_of(proposals.withColumn("part", part), ["inst", "target", "part"])
+    return _median_of(first, ["inst", "target"]).select("inst", "target", F.col("median").alias("pivot"))
+
+
+def _median_of(proposals: DataFrame, group: list[str]) -> DataFrame:
+    w = Window.partitionBy(*group).orderBy("median").rowsBetween(Window.unboundedPreceding, 0)
+    below = proposals.withColumns({"upto": F.sum("weight").over(w), "whole": F.sum("weight").over(Window.partitionBy(*group))})
+    reached = below.where(F.col("upto") * 2 >= F.col("whole"))
+    return reached.groupBy(*group).agg(F.min("median").alias("median"), F.first("whole").alias("weight"))
 
 
 def _counts(partials: DataFrame) -> DataFrame:
@@ -231,39 +287,42 @@ def _counts(partials: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist(
-                [r for row in range(b.num_rows) for r in three_way(b.slice(row, 1))], schema=schema
-            )
-
-    def three_way(row: pa.RecordBatch):
-        v, _, total = _one(row)
-        upto = np.concatenate([[0], total])
-        for o in row["open"][0].as_py():
-            i = np.searchsorted(v, o["low"], "right")
-            j, k = np.searchsorted(v, o["pivot"], "left"), np.searchsorted(v, o["pivot"], "right")
-            yield {
-                **_head(row),
-                "target": o["target"],
-                "less": int(upto[j] - upto[i]),
-                "equal": int(upto[k] - upto[j]),
-            }
-
-    schema = pa.schema([*_HEAD, ("target", pa.int32()), ("less", pa.int64()), ("equal", pa.int64())])
-    kind = "plan_id int, by_values array<string>, on_day int, target int, less bigint, equal bigint"
-    return partials.mapInArrow(kernel, kind)
-
+            o = Open(b)
+            i, j, k = o.place("low", True), o.place("pivot", False), o.place("pivot", True)
+            less, equal = o.upto[j] - o.upto[i], o.upto[k] - o.upto[j]
+            columns = [o.inst, o.fields["target"], less, equal]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-_HEAD = [("plan_id", pa.int32()), ("by_values", pa.list_(pa.string())), ("on_day", pa.int32())]
+    schema = pa.schema([("inst", pa.int64()), ("target", pa.int32()), ("less", pa.int64()), ("equal", pa.int64())])
+    return partials.mapInArrow(kernel, "inst bigint, target int, less bigint, equal bigint")
 
 
-def _head(row: pa.RecordBatch) -> dict:
-    return {name: row[name][0].as_py() for name, _ in _HEAD}
+def _narrowed(partials: DataFrame) -> DataFrame:
+    """Partial results without the values in none of the open ranges; those that keep
+    nothing are dropped."""
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            o = Open(b)
+            i, j = o.place("low", True), o.place("high", False)
+            live = i < j
+            step = np.zeros(len(o.v) + 1, np.int64)
+            np.add.at(step, i[live], 1)
+            np.add.at(step, j[live], -1)
+            keep = np.cumsum(step[:-1]) > 0
+            size = np.concatenate([[0], np.cumsum(keep)])[o.bounds]
+            rows = np.flatnonzero(np.diff(size))
+            ends = np.append(size[rows], size[-1]) * 8
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b["inst"].take(pa.array(rows)),
+                    runs.binaries(o.v[keep].view(np.uint8), ends),
+                    runs.binaries(o.times[keep].view(np.uint8), ends),
+                ],
+                names=["inst", "vals", "times"],
+            )
 
-def _one(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = np.frombuffer(row["vals"][0].as_py(), np.float64)
-    times = np.frombuffer(row["times"][0].as_py(), np.int64)
-    return v, times, np.cumsum(times)
+    return partials.mapInArrow(kernel, "inst bigint, vals binary, times binary")
 
 
 def _leftovers(partials: DataFrame) -> DataFrame:
@@ -271,32 +330,24 @@ def _leftovers(partials: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                yield from left(b.slice(row, 1))
-
-    def left(row: pa.RecordBatch):
-        v, times, _ = _one(row)
-        for o in row["open"][0].as_py():
-            i, j = np.searchsorted(v, o["low"], "right"), np.searchsorted(v, o["high"], "left")
-            if i < j:
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            **_head(row),
-                            "target": o["target"],
-                            "rank": o["rank"],
-                            "vals": v[i:j].tobytes(),
-                            "times": times[i:j].tobytes(),
-                        }
-                    ],
-                    schema=schema,
-                )
+            o = Open(b)
+            i, j = o.place("low", True), o.place("high", False)
+            live = np.flatnonzero(i < j)
+            size = (j - i)[live]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(i[live] - ends[:-1], size) + np.arange(int(ends[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(o.inst[live]),
+                    pa.array(o.fields["target"][live]),
+                    pa.array(o.fields["rank"][live]),
+                    runs.binaries(o.v[at].view(np.uint8), ends * 8),
+                    runs.binaries(o.times[at].view(np.uint8), ends * 8),
+                ],
+                names=["inst", "target", "rank", "vals", "times"],
+            )
 
-    schema = pa.schema(
-        [*_HEAD, ("target", pa.int32()), ("rank", pa.int64()), ("vals", pa.binary()), ("times", pa.binary())]
-    )
-    kind = "plan_id int, by_values array<string>, on_day int, target int, rank bigint, vals binary, times binary"
-    return partials.mapInArrow(kernel, kind)
+    return partials.mapInArrow(kernel, "inst bigint, target int, rank bigint, vals binary, times binary")
 
 
 def _last(leftovers: DataFrame) -> DataFrame:
@@ -306,64 +357,76 @@ def _last(leftovers: DataFrame) -> DataFrame:
         v, times, _ = _values(table)
         _, v, times = frequencies(np.zeros(len(v), np.int64), v, times)
         at = np.searchsorted(np.cumsum(times), table["rank"][0].as_py())
-        head = table.select(["plan_id", "by_values", "on_day", "target"]).slice(0, 1)
-        return head.append_column("found", pa.array([v[at]]))
+        return table.select(["inst", "target"]).slice(0, 1).append_column("found", pa.array([v[at]]))
+
+    return leftovers.groupBy("inst", "target").applyInArrow(kernel, "inst bigint, target int, found double")
+
+
+def _edges(partials: DataFrame) -> DataFrame:
+    """Negative infinite and finite values of each instance."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, times, run = _values(pa.Table.from_batches([b]))
+            sums = [np.bincount(run[m], times[m], b.num_rows).astype(np.int64) for m in (np.isneginf(v), np.isfinite(v))]
+            yield pa.RecordBatch.from_arrays([b["inst"], *map(pa.array, sums)], names=["inst", "n_low", "n_mid"])
 
-    kind = "plan_id int, by_values array<string>, on_day int, target int, found double"
-    return leftovers.groupBy(*INSTANCE, "target").applyInArrow(kernel, kind)
+    found = partials.mapInArrow(kernel, "inst bigint, n_low bigint, n_mid bigint")
+    return found.groupBy("inst").agg(F.sum("n_low").alias("n_low"), F.sum("n_mid").alias("n_mid"))
 
 
 def _attach(partials: DataFrame, rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     """Partial results with the open ranges (at most five) of their instance, one of n."""
-    opened = rows.groupBy(*INSTANCE).agg(F.collect_list(F.struct(*columns)).alias("open"))
-    return join_small(partials, opened, INSTANCE, n, "vals")
+    opened = rows.groupBy("inst").agg(F.collect_list(F.struct(*columns)).alias("open"))
+    # An instance and five ranges are some 200 bytes, so the count bounds the bytes.
+    return join_small(partials, opened, ["inst"], n, "vals", fixed_width=True)
 
 
 def select_large(partials: DataFrame, sizes: DataFrame, n: int, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """Percentiles of the n instances in ``sizes`` (instance, n), in rounds over all
-    their partial results.  Returns one row for each instance and target."""
+    their partial results.  Returns one row for each instance and target.
+
+    Each round reads only values that could still be a wanted one: those ruled out are
+    discarded after it."""
+    ids = cut(sizes.select(*INSTANCE, "n", F.monotonically_increasing_id().alias("inst")))
+    rows = join_small(partials, ids.select(*INSTANCE, "inst"), INSTANCE, n, "vals").select("inst", "vals", "times")
+    rows = cut(rows)
     wanted = F.array(*[F.struct(F.lit(i).alias("target"), F.lit(p).alias("p")) for i, p in enumerate(PERMILLES)])
-    state = sizes.select(*INSTANCE, "n", F.explode(wanted).alias("t")).select(
-        *INSTANCE,
-        F.col("t.target").alias("target"),
-        F.expr("(n * t.p + 999) div 1000").alias("rank"),
-        F.lit(None).cast("double").alias("found"),
-        F.lit(float("-inf")).alias("low"),
-        F.lit(float("inf")).alias("high"),
-        F.col("n").alias("inside"),
-    )
     # Infinite values lie outside the open range (-inf, inf): they are counted once.
-    edges = _edges(partials)
+    rank = F.expr("(n * t.p + 999) div 1000")
     state = (
-        state.join(edges, INSTANCE)
-        .withColumns(
-            {
-                "found": F.when(F.col("rank") <= F.col("n_low"), F.lit(float("-inf"))).when(
-                    F.col("rank") > F.col("n_low") + F.col("n_mid"), F.lit(float("inf"))
-                ),
-                "rank": F.col("rank") - F.col("n_low"),
-                "inside": F.col("n_mid"),
-            }
+        ids.select("inst", "n", F.explode(wanted).alias("t"))
+        .join(_edges(rows), "inst")
+        .select(
+            "inst",
+            F.col("t.target").alias("target"),
+            (rank - F.col("n_low")).alias("rank"),
+            F.when(rank <= F.col("n_low"), F.lit(float("-inf")))
+            .when(rank > F.col("n_low") + F.col("n_mid"), F.lit(float("inf")))
+            .alias("found"),
+            F.lit(float("-inf")).alias("low"),
+            F.lit(float("inf")).alias("high"),
+            F.col("n_mid").alias("inside"),
         )
-        .drop("n_low", "n_mid")
     )
     state = cut(state)
     while True:
-        todo = state.where(F.col("found").isNull() & (F.col("inside") > local_limit))
+        live = state.where(F.col("found").isNull())
+        todo = live.where(F.col("inside") > local_limit)
         if todo.isEmpty():
             break
-        pivots = _pivots(_proposals(_attach(partials, todo, ["target", "low", "high"], n)))
-        asked = todo.join(pivots, [*INSTANCE, "target"])
+        pivots = _pivots(_proposals(_attach(rows, todo, ["target", "low", "high"], n)))
+        asked = cut(todo.join(pivots, ["inst", "target"]))
         counted = (
-            _counts(_attach(partials, asked, ["target", "low", "pivot"], n))
-            .groupBy(*INSTANCE, "target")
+            _counts(_attach(rows, asked, ["target", "low", "pivot"], n))
+            .groupBy("inst", "target")
             .agg(F.sum("less").alias("less"), F.sum("equal").alias("equal"))
         )
-        moved = asked.join(counted, [*INSTANCE, "target"])
+        moved = asked.join(counted, ["inst", "target"])
         upto = F.col("less") + F.col("equal")
         is_low, is_at = F.col("rank") <= F.col("less"), F.col("rank") <= upto
         step = moved.select(
-            *INSTANCE,
+            "inst",
             "target",
             F.when(is_low | is_at, F.col("rank")).otherwise(F.col("rank") - upto).alias("rank"),
             F.when(~is_low & is_at, F.col("pivot")).alias("found"),
@@ -373,34 +436,11 @@ def select_large(partials: DataFrame, sizes: DataFrame, n: int, local_limit: int
         )
         done = state.where(F.col("found").isNotNull() | (F.col("inside") <= local_limit))
         state = cut(done.select(step.columns).unionByName(step))
-    rest = state.where(F.col("found").isNull())
-    last = _last(_leftovers(_attach(partials, rest, ["target", "low", "high", "rank"], n)))
-    columns = [*INSTANCE, "target", "found"]
-    return state.where(F.col("found").isNotNull()).select(columns).unionByName(last.select(columns))
-
-
-def _edges(partials: DataFrame) -> DataFrame:
-    """Negative infinite and finite values of each instance."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row in range(b.num_rows):
-                one = b.slice(row, 1)
-                v, times, _ = _one(one)
-                out.append(
-                    {
-                        **_head(one),
-                        "n_low": int(times[np.isneginf(v)].sum()),
-                        "n_mid": int(times[np.isfinite(v)].sum()),
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    schema = pa.schema([*_HEAD, ("n_low", pa.int64()), ("n_mid", pa.int64())])
-    kind = "plan_id int, by_values array<string>, on_day int, n_low bigint, n_mid bigint"
-    found = partials.mapInArrow(kernel, kind)
-    return found.groupBy(*INSTANCE).agg(F.sum("n_low").alias("n_low"), F.sum("n_mid").alias("n_mid"))
+        rows = cut(_narrowed(_attach(rows, state.where(F.col("found").isNull()), ["low", "high"], n)))
+    last = _last(_leftovers(_attach(rows, state.where(F.col("found").isNull()), ["target", "low", "high", "rank"], n)))
+    columns = ["inst", "target", "found"]
+    picked = state.where(F.col("found").isNotNull()).select(columns).unionByName(last.select(columns))
+    return picked.join(ids, "inst").select(*INSTANCE, "target", "found")
 
 
 def percentiles(partials: DataFrame, local_limit: int = LOCAL_LIMIT) -> DataFrame:

@@ -42,6 +42,14 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.partial_values(usage, _plans(spark, sf_dir, "quantile"), "ts"))
 
 
+def p5_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles with groups of more than 64 values going through the rounds
+    of the selection."""
+    usage = _table(spark, sf_dir, "usage_samples")
+    plans = _plans(spark, sf_dir, "quantile")
+    return percentiles.percentiles(percentiles.partial_values(usage, plans, "ts"), local_limit=64)
+
+
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(_table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 
@@ -84,6 +92,7 @@ def queries() -> dict[str, Query]:
         p1_distinct,
         p1_runs,
         p5_percentiles,
+        p5_select,
         p6_ids,
         p6_decoded,
         p7_mix,
@@ -145,5 +154,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_distinct": _distinct_sql(),
         "p5_percentiles": _quantile_sql(),
+        "p5_select": _quantile_sql(),
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
