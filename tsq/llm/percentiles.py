@@ -240,27 +240,53 @@ def weighted_medians(group: list[np.ndarray], v: np.ndarray, weight: np.ndarray)
     return order[at], v[np.searchsorted(total, before + (whole + 1) // 2)], whole
 
 
-def _proposals(partials: DataFrame) -> DataFrame:
-    """The median of the candidates of each partial result, and their number; those of a
-    batch reduced to their weighted median."""
+_PROPOSAL = pa.struct(
+    [("inst", pa.int64()), ("target", pa.int32()), ("median", pa.float64()), ("weight", pa.int64())]
+)
+_CANDIDATES = (
+    "inst bigint, vals binary, times binary, "
+    "proposals array<struct<inst: bigint, target: int, median: double, weight: bigint>>"
+)
+
+
+def _candidates(partials: DataFrame) -> DataFrame:
+    """Partial results without the values in none of the open ranges; those that keep
+    nothing are dropped.  With them the proposals: of each partial result the median of
+    its candidates and their number, those of a batch reduced to their weighted medians
+    and put into its first row."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             o = Open(b)
             i, j = o.place("low", True), o.place("high", False)
             live = np.flatnonzero(i < j)
+            if not len(live):
+                continue
             weight = o.upto[j[live]] - o.upto[i[live]]
             at = np.searchsorted(o.upto[1:], o.upto[i[live]] + (weight + 1) // 2)
             inst, target = o.inst[live], o.fields["target"][live]
-            rows, median, whole = weighted_medians([target, inst], o.v[at], weight)
+            first, median, whole = weighted_medians([target, inst], o.v[at], weight)
+            columns = [pa.array(c) for c in (inst[first], target[first], median, whole)]
+            proposals = pa.StructArray.from_arrays(columns, fields=list(_PROPOSAL))
+            step = np.zeros(len(o.v) + 1, np.int64)
+            np.add.at(step, i[live], 1)
+            np.add.at(step, j[live], -1)
+            keep = np.cumsum(step[:-1]) > 0
+            size = np.concatenate([[0], np.cumsum(keep)])[o.bounds]
+            rows = np.flatnonzero(np.diff(size))
+            ends = np.append(size[rows], size[-1]) * 8
+            at_first = np.r_[0, np.full(len(rows), len(proposals))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(inst[rows]), pa.array(target[rows]), pa.array(median), pa.array(whole)], schema=schema
+                [
+                    b["inst"].take(pa.array(rows)),
+                    runs.binaries(o.v[keep].view(np.uint8), ends),
+                    runs.binaries(o.times[keep].view(np.uint8), ends),
+                    pa.ListArray.from_arrays(pa.array(at_first), proposals),
+                ],
+                names=["inst", "vals", "times", "proposals"],
             )
 
-    schema = pa.schema(
-        [("inst", pa.int64()), ("target", pa.int32()), ("median", pa.float64()), ("weight", pa.int64())]
-    )
-    return partials.mapInArrow(kernel, "inst bigint, target int, median double, weight bigint")
+    return partials.mapInArrow(kernel, _CANDIDATES)
 
 
 PIVOT_PARTS = 64
@@ -297,34 +323,6 @@ def _counts(partials: DataFrame) -> DataFrame:
     return partials.mapInArrow(kernel, "inst bigint, target int, less bigint, equal bigint")
 
 
-def _narrowed(partials: DataFrame) -> DataFrame:
-    """Partial results without the values in none of the open ranges; those that keep
-    nothing are dropped."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            o = Open(b)
-            i, j = o.place("low", True), o.place("high", False)
-            live = i < j
-            step = np.zeros(len(o.v) + 1, np.int64)
-            np.add.at(step, i[live], 1)
-            np.add.at(step, j[live], -1)
-            keep = np.cumsum(step[:-1]) > 0
-            size = np.concatenate([[0], np.cumsum(keep)])[o.bounds]
-            rows = np.flatnonzero(np.diff(size))
-            ends = np.append(size[rows], size[-1]) * 8
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b["inst"].take(pa.array(rows)),
-                    runs.binaries(o.v[keep].view(np.uint8), ends),
-                    runs.binaries(o.times[keep].view(np.uint8), ends),
-                ],
-                names=["inst", "vals", "times"],
-            )
-
-    return partials.mapInArrow(kernel, "inst bigint, vals binary, times binary")
-
-
 def _leftovers(partials: DataFrame) -> DataFrame:
     """The candidates that are left, one row for each partial result and open range."""
 
@@ -390,7 +388,6 @@ def select_large(partials: DataFrame, sizes: DataFrame, n: int, local_limit: int
     discarded after it."""
     ids = cut(sizes.select(*INSTANCE, "n", F.monotonically_increasing_id().alias("inst")))
     rows = join_small(partials, ids.select(*INSTANCE, "inst"), INSTANCE, n, "vals").select("inst", "vals", "times")
-    rows = cut(rows)
     wanted = F.array(*[F.struct(F.lit(i).alias("target"), F.lit(p).alias("p")) for i, p in enumerate(PERMILLES)])
     # Infinite values lie outside the open range (-inf, inf): they are counted once.
     rank = F.expr("(n * t.p + 999) div 1000")
@@ -415,10 +412,11 @@ def select_large(partials: DataFrame, sizes: DataFrame, n: int, local_limit: int
         todo = live.where(F.col("inside") > local_limit)
         if todo.isEmpty():
             break
-        pivots = _pivots(_proposals(_attach(rows, todo, ["target", "low", "high"], n)))
+        rows = cut(_candidates(_attach(rows.select("inst", "vals", "times"), live, ["target", "low", "high"], n)))
+        pivots = _pivots(rows.select(F.explode("proposals").alias("p")).select("p.*"))
         asked = cut(todo.join(pivots, ["inst", "target"]))
         counted = (
-            _counts(_attach(rows, asked, ["target", "low", "pivot"], n))
+            _counts(_attach(rows.select("inst", "vals", "times"), asked, ["target", "low", "pivot"], n))
             .groupBy("inst", "target")
             .agg(F.sum("less").alias("less"), F.sum("equal").alias("equal"))
         )
@@ -436,7 +434,6 @@ def select_large(partials: DataFrame, sizes: DataFrame, n: int, local_limit: int
         )
         done = state.where(F.col("found").isNotNull() | (F.col("inside") <= local_limit))
         state = cut(done.select(step.columns).unionByName(step))
-        rows = cut(_narrowed(_attach(rows, state.where(F.col("found").isNull()), ["low", "high"], n)))
     last = _last(_leftovers(_attach(rows, state.where(F.col("found").isNull()), ["target", "low", "high", "rank"], n)))
     columns = ["inst", "target", "found"]
     picked = state.where(F.col("found").isNotNull()).select(columns).unionByName(last.select(columns))
