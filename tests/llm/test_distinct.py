@@ -77,38 +77,62 @@ def brute(data):
     )
 
 
-@pytest.mark.parametrize("bits,parts", [(0, 1), (3, 4), (6, 7)])
-def test_against_brute_force(spark, bits, parts):
+@pytest.mark.parametrize("piece,batch,parts", [(1 << 20, 1 << 20, 1), (100, 64, 4), (7, 1, 7)])
+def test_against_brute_force(spark, piece, batch, parts):
     data = rows()
-    partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA).repartition(parts), PLANS, "ts", bits)
-    for source in (partials, distinct.merge_runs(partials)):
-        got = distinct.distinct_counts(source, PLANS).collect()
+    partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA).repartition(parts), PLANS, "ts")
+    for source in (partials, distinct.merge_runs(partials, piece, batch)):
+        got = distinct.distinct_counts(source, PLANS, piece, batch).collect()
         assert sorted(tuple(r)[:5] for r in got) == brute(data)
         assert all(r["error_bound"] == r["n_distinct"] * (r["n_distinct"] - 1) / 2**65 for r in got)
 
 
 def test_partials_of_two_loads_combine(spark):
     data = rows()
-    one, two = (distinct.partial_runs(spark.createDataFrame(d, SCHEMA), PLANS, "ts", 2) for d in (data[:1000], data[1000:]))
-    merged = distinct.merge_runs(one.unionByName(two))
+    one, two = (distinct.partial_runs(spark.createDataFrame(d, SCHEMA), PLANS, "ts") for d in (data[:1000], data[1000:]))
+    merged = distinct.merge_runs(one.unionByName(two), piece=50)
     assert sorted(tuple(r)[:5] for r in distinct.distinct_counts(merged, PLANS).collect()) == brute(data)
     assert merged.groupBy("plan_id", "on_day", "by_values", "hash_range").count().where("count > 1").isEmpty()
 
 
+def test_only_large_cells_are_cut(spark):
+    """The runs of small cells don't get shorter when large ones are cut finer."""
+    data = rows()
+    partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA).repartition(3), PLANS, "ts")
+    cells = {}
+    for piece in (1 << 20, 60, 20):
+        for r in distinct.merge_runs(partials, piece).collect():
+            cells.setdefault((r["plan_id"], r["on_day"], tuple(r["by_values"])), {}).setdefault(piece, []).append(r)
+    for by_piece in cells.values():
+        whole = by_piece[1 << 20]
+        assert len(whole) == 1
+        for piece in (60, 20):
+            got = by_piece[piece]
+            assert sum(r["n"] for r in got) == whole[0]["n"]
+            assert len(got) == 1 or got[0]["bits"] > 0
+            assert len(got) <= 1 << got[0]["bits"] < 2 * 3 * whole[0]["n"] / piece + 2
+    assert any(len(c[20]) > 1 for c in cells.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sets(st.integers(0, 2**64 - 1), max_size=9), max_size=5), max_size=5))
+def test_union_is_that_of_the_sets(cells):
+    cell = np.array([i for i, sets in enumerate(cells) for s in sets for _ in s], np.int64)
+    h = np.array([x for sets in cells for s in sets for x in sorted(s)], np.uint64)
+    got = list(zip(*(x.tolist() for x in runs.union(cell, h))))
+    assert got == [(i, x) for i, sets in enumerate(cells) for x in sorted(set().union(*sets))]
+
+
 def test_small_batches(spark, monkeypatch):
     data = rows(500)
     monkeypatch.setattr(runs, "BATCH", 50)
-    partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA), PLANS, "ts", 1)
+    partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA), PLANS, "ts")
     assert sorted(tuple(r)[:5] for r in distinct.distinct_counts(partials, PLANS).collect()) == brute(data)
 
 
 def test_empty_and_only_null(spark):
     null = [(datetime(2025, 1, 1), "a", None, None, None, None, "x")]
     for data in ([], null):
-        partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA), PLANS, "ts", 3)
+        partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA), PLANS, "ts")
         assert distinct.distinct_counts(partials, PLANS).count() == 0
         assert distinct.merge_runs(partials).count() == 0
-
-
-def test_ranges_follow_the_rows():
-    assert distinct.range_bits(0) == 4 and distinct.range_bits(3 * 10**7) == 5 and distinct.range_bits(10**12) == 20

@@ -1,18 +1,24 @@
 """Distinct counts over huge identifier sets (p1).
 
-An identifier becomes a 64-bit hash.  A partial result is a sorted run of hashes for
-one plan, UTC day, group and range of the hash space, stored as varints of deltas;
-runs merge by a k-way union whatever day, group or partition they come from.  Ranges
-split every group evenly, so no group, however hot, is held by one task, and a count
-over all ranges is a sum.
+An identifier becomes a 64-bit hash.  A partial result is a sorted run of hashes for one
+cell (plan, UTC day, group), stored as varints of deltas.  Runs merge by a k-way union
+whatever day, group or partition they come from: first the partial runs of each cell to
+one run, then the runs of cells to those of every combination of labels and of all days,
+and the counts are the lengths of merged runs.
+
+A cell whose runs hold more than ``piece`` hashes together is cut into ranges of the hash
+space, as many as its own size asks for, so no task holds a whole large cell and its
+counts add up over the ranges.  All other cells stay whole, however many rows there are
+in all, so their runs never get shorter and the coding keeps its worth.
 
 Error: a count falls short by one for each pair of identifiers with one hash.  The
 expected shortfall, and so the chance of any, is at most n (n - 1) / 2**65, given with
 each count as ``error_bound``.
 
-Defined results: NULL identifiers are left out; a group without identifiers has no
-row; a missing label is a group of its own; repeated rows change nothing; an empty
-table gives an empty result.
+Defined results: NULL identifiers and rows without a time are left out; a group without
+identifiers has no row; a missing label is a group of its own; repeated rows change
+nothing; an empty table gives an empty result.  ``merge_runs`` and ``distinct_counts``
+run jobs when they are called (sizes of cells).
 """
 
 from __future__ import annotations
@@ -25,28 +31,26 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsq.llm import runs
-
-PARTIAL = "plan_id int, on_day int, by_values array<string>, hash_range int, n bigint, run binary"
-ROWS_PER_RANGE = 1 << 20
-LEAST_RANGES = 16
+from tsq.operators.frequency import by_key, label_text
+from tsq.plans.session import cut, join_small
+
+PARTIAL = "plan_id int, on_day int, by_values array<string>, n bigint, run binary"
+CELL = ["plan_id", "labels", "key", "on_day"]
+PIECE = 1 << 20  # hashes of one cell that a task unites at once
+BATCH = 1 << 20  # hashes of several cells that a task unites at once
+ALL = -(1 << 31)  # the day of a cell over all days
 TWO_65 = float(1 << 65)
 
 
-def range_bits(rows: int) -> int:
-    """Bits of the hash that name its range: about a million rows of input a range."""
-    return (max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE)) - 1).bit_length()
-
-
-def partial_runs(rows: DataFrame, plans: list[dict], time: str, bits: int) -> DataFrame:
+def partial_runs(rows: DataFrame, plans: list[dict], time: str) -> DataFrame:
     """Runs of each input partition.  A plan has plan_id, by (label columns, cast to
     string for the key) and field (the identifier's column)."""
     label = {c: f"label_{i}" for i, c in enumerate(sorted({c for p in plans for c in p["by"]}))}
     ident = {c: f"hash_{i}" for i, c in enumerate(sorted({p["field"] for p in plans}))}
     wanted = [F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date")).alias("on_day")]
-    wanted += [_text(rows, c).alias(a) for c, a in label.items()]
+    wanted += [label_text(rows, c).alias(a) for c, a in label.items()]
     wanted += [F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(a) for c, a in ident.items()]
     specs = [(p["plan_id"], [label[c] for c in p["by"]], ident[p["field"]]) for p in plans]
     schema = pa.schema(
@@ -54,7 +58,6 @@ def partial_runs(rows: DataFrame, plans: list[dict], time: str, bits: int) -> Da
             ("plan_id", pa.int32()),
             ("on_day", pa.int32()),
             ("by_values", pa.list_(pa.string())),
-            ("hash_range", pa.int32()),
             ("n", pa.int64()),
             ("run", pa.binary()),
         ]
@@ -74,121 +77,204 @@ def partial_runs(rows: DataFrame, plans: list[dict], time: str, bits: int) -> Da
         cell, h = cell[order], h[order]
         keep = runs.starts_of(cell, h)
         cell, h = cell[keep], h[keep]
-        part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-        at = runs.starts_of(cell, part)
+        at = runs.starts_of(cell)
         rows = first[cell[at]]
         yield from pa.table(
             [
                 pa.array(np.full(len(at), plan_id, np.int32)),
                 runs._flat(table["on_day"]).take(pa.array(rows)),
                 runs.lists(table, by, rows),
-                pa.array(part[at].astype(np.int32)),
                 pa.array(np.diff(np.append(at, len(h)))),
                 runs.pack(h, at),
             ],
             schema=schema,
         ).to_batches(max_chunksize=50_000)
 
-    return rows.select(*wanted).mapInArrow(kernel, PARTIAL)
+    return rows.where(F.col(time).isNotNull()).select(*wanted).mapInArrow(kernel, PARTIAL)
 
 
-def _text(rows: DataFrame, name: str) -> Column:
-    binary = isinstance(rows.schema[name].dataType, T.BinaryType)
-    return F.hex(name) if binary else F.col(name).cast("string")
+def _key(values: Column) -> Column:
+    """Label values as one text that no other values give."""
+    return F.to_json(values)
 
 
-def merge_runs(partials: DataFrame) -> DataFrame:
-    """One run for each plan, day, group and range: the union of all partial runs."""
+def _large(cells: DataFrame, piece: int) -> DataFrame:
+    """Cells of more than ``piece`` hashes and the bits of the hash that name their
+    ranges.  ``cells`` has (CELL, n); the sizes are upper bounds, as runs may share
+    hashes, so no range is larger than wanted."""
+    sizes = cells.groupBy(*CELL).agg(F.sum("n").alias("n")).where(F.col("n") > piece)
+    return cut(sizes.select(*CELL, F.ceil(F.log2(F.col("n") / F.lit(float(piece)))).cast("int").alias("bits")))
 
-    def kernel(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keyed = table.append_column("key", _joined(table["by_values"]))
-        cell, first = runs.codes(keyed, ["on_day", "key"])
-        h, run = runs.unpack(table["run"])
-        cell, h = _union(cell[run], h)
-        at = runs.starts_of(cell)
-        rows = pa.array(first[cell[at]])
-        return pa.table(
-            {
-                **{c: table[c].take(rows) for c in ("plan_id", "on_day", "by_values", "hash_range")},
+
+def _in_ranges(parts: DataFrame, large: DataFrame) -> DataFrame:
+    """Runs (CELL, hash_range, n, run) with those of large cells cut into the ranges of
+    their cell; all others are passed on as they are."""
+    n_large = large.count()
+    if not n_large:
+        return parts.withColumn("bits", F.lit(0))
+    known = join_small(parts.drop("bits"), large, CELL, n_large, "run", "left").fillna(0, ["bits"])
+    names = [*CELL, "hash_range", "n", "run", "bits"]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            h, run = runs.unpack(table["run"])
+            shift = (64 - table["bits"].to_numpy())[run].astype(np.uint64)
+            part = (h >> shift).astype(np.int64)
+            at = runs.starts_of(run, part)
+            rows = pa.array(run[at])
+            columns = {c: table[c].take(rows) for c in names if c not in ("hash_range", "n", "run")}
+            columns |= {
+                "hash_range": pa.array(part[at].astype(np.int32)),
                 "n": pa.array(np.diff(np.append(at, len(h)))),
                 "run": runs.pack(h, at),
             }
-        )
+            yield from pa.table({c: columns[c] for c in names}).cast(_schema(names)).to_batches()
 
-    return partials.groupBy("plan_id", "hash_range").applyInArrow(kernel, PARTIAL)
+    kind = "plan_id int, labels int, key string, on_day int, hash_range int, n bigint, run binary, bits int"
+    whole = known.where("bits = 0").select(*names)
+    return whole.unionByName(known.where("bits > 0").select(*names).mapInArrow(kernel, kind))
 
 
-def _union(cell: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (cell, hash) pairs in order.  Runs come sorted, and the stable sort
-    merges the sorted stretches that it finds: a k-way union."""
-    order = np.lexsort((h, cell))
-    cell, h = cell[order], h[order]
-    keep = runs.starts_of(cell, h)
-    return cell[keep], h[keep]
+def _schema(names: list[str]) -> pa.Schema:
+    kinds = {"key": pa.string(), "n": pa.int64(), "run": pa.binary()}
+    return pa.schema([(c, kinds.get(c, pa.int32())) for c in names])
 
 
-def _joined(lists: pa.ChunkedArray) -> pa.Array:
-    flat = runs._flat(lists)
-    return pa.array(["\x1f".join("\x00" if x is None else x for x in v) for v in flat.to_pylist()], pa.string())
+def _united(parts: DataFrame, with_runs: bool, batch: int) -> DataFrame:
+    """One row for each cell and range: the k-way union of its runs, and its length."""
+    keys = [*CELL, "hash_range"]
+    names = [*keys, "bits", "n", *(["run"] if with_runs else [])]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += int(b["n"].to_numpy().sum())
+            if n < batch:
+                continue
+            table = pa.Table.from_batches(held)
+            last = int(runs.starts_of(*key_codes(table))[-1]) if table.num_rows else 0
+            if last:  # the last cell may go on in the next batch
+                yield from unite(table.slice(0, last))
+            held = table.slice(last).to_batches()
+            n = sum(int(x["n"].to_numpy().sum()) for x in held)
+        if held:
+            yield from unite(pa.Table.from_batches(held))
+
+    def key_codes(table: pa.Table) -> list[np.ndarray]:
+        key = runs._flat(table["key"]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        return [key, *[table[c].to_numpy() for c in ("plan_id", "labels", "on_day", "hash_range")]]
+
+    def unite(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        first = runs.starts_of(*key_codes(table))
+        size = np.diff(np.append(first, table.num_rows))
+        # A cell of one run is that run.
+        single = pa.array(first[size == 1])
+        if len(single):
+            yield from table.take(single).select(names).cast(schema).to_batches()
+        many = np.repeat(size > 1, size)
+        rest = table.filter(pa.array(many))
+        if not rest.num_rows:
+            return
+        h, run = runs.unpack(rest["run"])
+        cell = np.repeat(np.arange(len(size)), size)[many][run]
+        cell, h = runs.union(cell, h)
+        at = runs.starts_of(cell)
+        rows = pa.array(first[cell[at]])
+        columns = {c: table[c].take(rows) for c in names}
+        columns["n"] = pa.array(np.diff(np.append(at, len(h))))
+        if with_runs:
+            columns["run"] = runs.pack(h, at)
+        yield from pa.table(columns).cast(schema).to_batches()
+
+    schema = _schema(names)
+    kind = "plan_id int, labels int, key string, on_day int, hash_range int, bits int, n bigint"
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(kernel, kind + (", run binary" if with_runs else ""))
+
+
+def merge_runs(partials: DataFrame, piece: int = PIECE, batch: int = BATCH) -> DataFrame:
+    """One run for each plan, day, group and range: (plan_id, on_day, by_values, bits,
+    hash_range, n, run).  The result is of the form of ``partials`` with more columns,
+    so it can be united with others and merged again."""
+    parts = cut(_cells(partials))
+    large = _large(parts, piece)
+    merged = _united(_in_ranges(parts, large), True, batch)
+    return merged.select(
+        "plan_id", "on_day", F.from_json("key", "array<string>").alias("by_values"), "bits", "hash_range", "n", "run"
+    )
 
 
-def distinct_counts(partials: DataFrame, plans: list[dict]) -> DataFrame:
+def _cells(partials: DataFrame) -> DataFrame:
+    """Partial runs as runs of the finest cells, whole or cut as they come."""
+    return partials.select(
+        "plan_id",
+        F.lit(-1).alias("labels"),
+        _key(F.col("by_values")).alias("key"),
+        "on_day",
+        F.lit(0).alias("hash_range"),
+        "n",
+        "run",
+    )
+
+
+def _combinations(merged: DataFrame, plans: list[dict]) -> DataFrame:
+    """Each run of the finest cells once for every coarser cell that it is part of: all
+    combinations of its plan's labels (``labels`` has their bits), by day and over all
+    days, but the finest by day."""
+    cells = F.lit(None)
+    for p in plans:
+        k = len(p["by"])
+        combos = []
+        for mask in range(1 << k):
+            kept = F.array(*[F.get("by_values", F.lit(i)) for i in range(k) if mask >> i & 1]).cast("array<string>")
+            finest = mask + 1 == 1 << k
+            for day in [F.lit(ALL)] if finest else [F.lit(ALL), F.col("on_day")]:
+                combos.append(F.struct(F.lit(mask).alias("labels"), _key(kept).alias("key"), day.alias("on_day")))
+        of_plan = F.col("plan_id") == p["plan_id"]
+        cells = F.when(of_plan, F.array(*combos)).otherwise(cells)
+    exploded = merged.select("plan_id", F.explode(cells).alias("c"), "hash_range", "bits", "n", "run")
+    return exploded.select("plan_id", "c.labels", "c.key", "c.on_day", "hash_range", "bits", "n", "run")
+
+
+def distinct_counts(
+    partials: DataFrame, plans: list[dict], piece: int = PIECE, batch: int = BATCH
+) -> DataFrame:
     """Counts for every combination of a plan's labels, by day and over all days.
 
     (plan_id, by_labels, by_key, on_day, n_distinct, error_bound): by_labels are the
     labels of the combination joined by ``|``, by_key their values with ``<null>`` for
-    a missing one, on_day is YYYY-MM-DD or ``all``.  One task holds one plan's hashes
-    of one range, and unites them for all combinations there."""
-    labels = {p["plan_id"]: list(p["by"]) for p in plans}
-    out = "plan_id int, by_labels string, by_key string, exact string, on_day int, n bigint"
-
-    def kernel(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        plan_id = table["plan_id"][0].as_py()
-        by = labels[plan_id]
-        values = runs._flat(table["by_values"]).to_pylist()
-        days = runs._flat(table["on_day"])
-        h, run = runs.unpack(table["run"])
-        found = []
-        for mask in range(1 << len(by)):
-            kept = [i for i in range(len(by)) if mask >> i & 1]
-            keys = pa.array(["|".join("<null>" if v[i] is None else v[i] for i in kept) for v in values], pa.string())
-            exact = pa.array(["\x1f".join("\x00" if v[i] is None else v[i] for i in kept) for v in values], pa.string())
-            for daily in (True, False):
-                day = days if daily else pa.nulls(len(days), pa.int32())
-                cell, first = runs.codes(pa.table({"day": day, "key": exact}), ["day", "key"])
-                c, _ = _union(cell[run], h)
-                at = runs.starts_of(c)
-                rows = pa.array(first[c[at]])
-                found.append(
-                    pa.table(
-                        {
-                            "plan_id": pa.array(np.full(len(at), plan_id, np.int32)),
-                            "by_labels": pa.array(["|".join(by[i] for i in kept)] * len(at), pa.string()),
-                            "by_key": keys.take(rows),
-                            "exact": exact.take(rows),
-                            "on_day": day.take(rows),
-                            "n": pa.array(np.diff(np.append(at, len(c)))),
-                        }
-                    )
-                )
-        return pa.concat_tables(found)
-
-    counted = partials.groupBy("plan_id", "hash_range").applyInArrow(kernel, out)
-    n = F.col("n_distinct").cast("double")
+    a missing one, on_day is YYYY-MM-DD or ``all``."""
+    merged = cut(merge_runs(partials, piece, batch))
+    coarse = _combinations(merged, plans)
+    # Cells of a coarser level are at least as large as their parts, so a part that was
+    # cut is cut into the same ranges or finer ones.
+    parts = _in_ranges(coarse, _large(coarse, piece))
+    counted = _united(parts, False, batch).drop("hash_range")
+    full = F.lit(None).cast("int")
+    for p in plans:
+        full = F.when(F.col("plan_id") == p["plan_id"], F.lit((1 << len(p["by"])) - 1)).otherwise(full)
+    finest = merged.select("plan_id", full.alias("labels"), _key(F.col("by_values")).alias("key"), "on_day", "bits", "n")
+    every = finest.unionByName(counted)
+    # A whole cell has one row; those of the ranges of a large one add up.
+    whole = every.where("bits = 0").select(*CELL, "n")
+    cells = whole.unionByName(every.where("bits > 0").groupBy(*CELL).agg(F.sum("n").alias("n")))
+    names = F.lit(None).cast("string")
+    for p in plans:
+        for mask in range(1 << len(p["by"])):
+            text = "|".join(c for i, c in enumerate(p["by"]) if mask >> i & 1)
+            names = F.when((F.col("plan_id") == p["plan_id"]) & (F.col("labels") == mask), F.lit(text)).otherwise(names)
+    n = F.col("n").cast("double")
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("on_day")), "yyyy-MM-dd")
-    return (
-        counted.groupBy("plan_id", "by_labels", "by_key", "exact", "on_day")
-        .agg(F.sum("n").alias("n_distinct"))
-        .select(
-            "plan_id",
-            "by_labels",
-            "by_key",
-            F.coalesce(day, F.lit("all")).alias("on_day"),
-            "n_distinct",
-            (n * (n - 1) / F.lit(TWO_65)).alias("error_bound"),
-        )
+    return cells.select(
+        "plan_id",
+        names.alias("by_labels"),
+        by_key(F.from_json("key", "array<string>")).alias("by_key"),
+        F.when(F.col("on_day") == ALL, F.lit("all")).otherwise(day).alias("on_day"),
+        F.col("n").alias("n_distinct"),
+        (n * (n - 1) / F.lit(TWO_65)).alias("error_bound"),
     )
 
 

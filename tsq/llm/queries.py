@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsq.llm import distinct, encode, mix, percentiles, repetition
+from tsq.operators.frequency import by_key
 from tsq.plans.aggregates import read_plans
 from tsq.plans.session import spread
 
@@ -24,9 +25,8 @@ def _plans(spark: SparkSession, sf_dir: str, agg_name: str) -> list[dict]:
 
 
 def _p1_partials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
-    usage = _table(spark, sf_dir, "usage_samples")
     plans = _plans(spark, sf_dir, "distinct")
-    return distinct.partial_runs(usage, plans, "ts", distinct.range_bits(usage.count())), plans
+    return distinct.partial_runs(_table(spark, sf_dir, "usage_samples"), plans, "ts"), plans
 
 
 def p1_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,16 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.merge_runs(_p1_partials(spark, sf_dir)[0])
 
 
+def p1_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths of the merged runs of each plan, day and group, cells of more than
+    4,096 hashes cut into ranges."""
+    merged = distinct.merge_runs(_p1_partials(spark, sf_dir)[0], piece=4096)
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("on_day")), "yyyy-MM-dd")
+    keyed = merged.select("plan_id", day.alias("on_day"), by_key(F.col("by_values")).alias("by_key"), "by_values", "n")
+    sums = keyed.groupBy("plan_id", "on_day", "by_values", "by_key").agg(F.sum("n").alias("n_distinct"))
+    return sums.drop("by_values")
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = _table(spark, sf_dir, "usage_samples")
     return percentiles.percentiles(percentiles.partial_values(usage, _plans(spark, sf_dir, "quantile"), "ts"))
@@ -91,6 +101,7 @@ def queries() -> dict[str, Query]:
     every = (
         p1_distinct,
         p1_runs,
+        p1_run_lengths,
         p5_percentiles,
         p5_select,
         p6_ids,
@@ -130,6 +141,15 @@ def _distinct_sql() -> str:
     return f"SELECT *, {n} * ({n} - 1) / 36893488147419103232.0::DOUBLE AS error_bound FROM ({union})"
 
 
+def _run_lengths_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT {plan_id} AS plan_id, strftime(ts, '%Y-%m-%d') AS on_day, {_key(by)} AS by_key, "
+        f"count(DISTINCT {field}) AS n_distinct FROM usage_samples WHERE {field} IS NOT NULL "
+        f"GROUP BY {', '.join(by)}, strftime(ts, '%Y-%m-%d')"
+        for plan_id, (by, field) in _DISTINCT.items()
+    )
+
+
 def _quantile_sql() -> str:
     parts = []
     for plan_id, (by, field) in _QUANTILE.items():
@@ -153,6 +173,7 @@ def _quantile_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_distinct": _distinct_sql(),
+        "p1_run_lengths": _run_lengths_sql(),
         "p5_percentiles": _quantile_sql(),
         "p5_select": _quantile_sql(),
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

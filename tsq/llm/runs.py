@@ -71,6 +71,18 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def union(cell: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k-way union of sorted runs: distinct (cell, hash) pairs in order.  ``cell``
+    does not fall; the runs of a cell follow each other.  The stable sort merges the
+    sorted stretches that it finds, so k runs of n hashes take n log k steps."""
+    if len(cell) and cell[0] == cell[-1]:
+        h = np.sort(h, kind="stable")
+    else:
+        h = h[np.lexsort((h, cell))]
+    keep = starts_of(cell, h)
+    return cell[keep], h[keep]
+
+
 def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Binary values cut from one buffer at byte offsets (n + 1 of them)."""
     return pa.Array.from_buffers(
