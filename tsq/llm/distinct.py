@@ -38,7 +38,7 @@ from tsq.plans.session import cut, join_small
 
 PARTIAL = "plan_id int, on_day int, by_values array<string>, n bigint, run binary"
 CELL = ["plan_id", "labels", "key", "on_day"]
-PIECE = 1 << 20  # hashes of one cell that a task unites at once
+PIECE = 1 << 18  # hashes of one cell that a task unites at once
 BATCH = 1 << 20  # hashes of several cells that a task unites at once
 ALL = -(1 << 31)  # the day of a cell over all days
 TWO_65 = float(1 << 65)
@@ -103,7 +103,8 @@ def _large(cells: DataFrame, piece: int) -> DataFrame:
     ranges.  ``cells`` has (CELL, n); the sizes are upper bounds, as runs may share
     hashes, so no range is larger than wanted."""
     sizes = cells.groupBy(*CELL).agg(F.sum("n").alias("n")).where(F.col("n") > piece)
-    return cut(sizes.select(*CELL, F.ceil(F.log2(F.col("n") / F.lit(float(piece)))).cast("int").alias("bits")))
+    bits = F.ceil(F.log2(F.col("n") / F.lit(float(piece)))).cast("int").alias("bits")
+    return cut(sizes.select(*CELL, bits))
 
 
 def _in_ranges(parts: DataFrame, large: DataFrame) -> DataFrame:
@@ -200,8 +201,7 @@ def merge_runs(partials: DataFrame, piece: int = PIECE, batch: int = BATCH) -> D
     hash_range, n, run).  The result is of the form of ``partials`` with more columns,
     so it can be united with others and merged again."""
     parts = cut(_cells(partials))
-    large = _large(parts, piece)
-    merged = _united(_in_ranges(parts, large), True, batch)
+    merged = _united(_in_ranges(parts, _large(parts.select(*CELL, "n"), piece)), True, batch)
     return merged.select(
         "plan_id", "on_day", F.from_json("key", "array<string>").alias("by_values"), "bits", "hash_range", "n", "run"
     )
@@ -220,23 +220,26 @@ def _cells(partials: DataFrame) -> DataFrame:
     )
 
 
-def _combinations(merged: DataFrame, plans: list[dict]) -> DataFrame:
-    """Each run of the finest cells once for every coarser cell that it is part of: all
-    combinations of its plan's labels (``labels`` has their bits), by day and over all
-    days, but the finest by day."""
-    cells = F.lit(None)
+def _combinations(cells: DataFrame, plans: list[dict]) -> DataFrame:
+    """Each row of the finest cells once for every combination of its plan's labels
+    (``labels`` has their bits), by day and over all days, that it is part of, with
+    ``finest`` true where that is its own cell."""
+    values = F.from_json("key", "array<string>")
+    of_plan = F.lit(None)
     for p in plans:
         k = len(p["by"])
         combos = []
         for mask in range(1 << k):
-            kept = F.array(*[F.get("by_values", F.lit(i)) for i in range(k) if mask >> i & 1]).cast("array<string>")
-            finest = mask + 1 == 1 << k
-            for day in [F.lit(ALL)] if finest else [F.lit(ALL), F.col("on_day")]:
-                combos.append(F.struct(F.lit(mask).alias("labels"), _key(kept).alias("key"), day.alias("on_day")))
-        of_plan = F.col("plan_id") == p["plan_id"]
-        cells = F.when(of_plan, F.array(*combos)).otherwise(cells)
-    exploded = merged.select("plan_id", F.explode(cells).alias("c"), "hash_range", "bits", "n", "run")
-    return exploded.select("plan_id", "c.labels", "c.key", "c.on_day", "hash_range", "bits", "n", "run")
+            kept = [F.get("_values", F.lit(i)) for i in range(k) if mask >> i & 1]
+            key = F.col("key") if mask + 1 == 1 << k else _key(F.array(*kept).cast("array<string>"))
+            for day in (F.lit(ALL), F.col("on_day")):
+                finest = F.lit(mask + 1 == 1 << k and len(combos) % 2 == 1)
+                cell = F.struct(F.lit(mask).alias("labels"), key.alias("key"), day.alias("on_day"), finest.alias("finest"))
+                combos.append(cell)
+        of_plan = F.when(F.col("plan_id") == p["plan_id"], F.array(*combos)).otherwise(of_plan)
+    rest = [c for c in cells.columns if c not in CELL]
+    exploded = cells.withColumn("_values", values).select("plan_id", F.explode(of_plan).alias("c"), *rest)
+    return exploded.select("plan_id", "c.*", *rest)
 
 
 def distinct_counts(
@@ -247,20 +250,17 @@ def distinct_counts(
     (plan_id, by_labels, by_key, on_day, n_distinct, error_bound): by_labels are the
     labels of the combination joined by ``|``, by_key their values with ``<null>`` for
     a missing one, on_day is YYYY-MM-DD or ``all``."""
-    merged = cut(merge_runs(partials, piece, batch))
-    coarse = _combinations(merged, plans)
-    # Cells of a coarser level are at least as large as their parts, so a part that was
-    # cut is cut into the same ranges or finer ones.
-    parts = _in_ranges(coarse, _large(coarse, piece))
-    counted = _united(parts, False, batch).drop("hash_range")
-    full = F.lit(None).cast("int")
-    for p in plans:
-        full = F.when(F.col("plan_id") == p["plan_id"], F.lit((1 << len(p["by"])) - 1)).otherwise(full)
-    finest = merged.select("plan_id", full.alias("labels"), _key(F.col("by_values")).alias("key"), "on_day", "bits", "n")
-    every = finest.unionByName(counted)
-    # A whole cell has one row; those of the ranges of a large one add up.
-    whole = every.where("bits = 0").select(*CELL, "n")
-    cells = whole.unionByName(every.where("bits > 0").groupBy(*CELL).agg(F.sum("n").alias("n")))
+    parts = cut(_cells(partials))
+    sizes = parts.groupBy(*CELL).agg(F.sum("n").alias("n"))
+    coarse_sizes = _combinations(sizes, plans).where(~F.col("finest")).select(*CELL, "n")
+    large = _large(sizes.unionByName(coarse_sizes), piece)
+    merged = _united(_in_ranges(parts, large.where("labels < 0")), True, batch)
+    # A cell's own count is the length of its merged run, so that run stays behind.  A
+    # coarser cell is at least as large as its parts: what was cut before is cut into
+    # the same ranges or finer ones.
+    combined = _combinations(merged, plans).withColumn("run", F.when(~F.col("finest"), F.col("run")))
+    counted = _united(_in_ranges(combined.drop("finest", "bits"), large.where("labels >= 0")), False, batch)
+    cells = counted.groupBy(*CELL).agg(F.sum("n").alias("n"))
     names = F.lit(None).cast("string")
     for p in plans:
         for mask in range(1 << len(p["by"])):
