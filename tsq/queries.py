@@ -102,8 +102,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.found(p4_flags(spark, sf_dir))
 
 
+def p4_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags that don't depend on the usual scatter: impossible values and stuck
+    stretches."""
+    return p4_flags(spark, sf_dir).where(F.col("reason") != spikes.SPIKE)
+
+
 def queries() -> dict[str, Query]:
-    own = {f.__name__: f for f in (p2_found, p2_keys, p3_found, p3_rolling, p4_found, p4_flags)}
+    own = {f.__name__: f for f in (p2_found, p2_keys, p3_found, p3_rolling, p4_found, p4_flags, p4_plain)}
     return {**metric_queries.QUERIES, **own}
 
 
@@ -148,9 +154,39 @@ WITH once AS (
 """
 
 
+# Gaps and islands over the stored samples of each series; a NaN equals nothing.
+_P4_SQL = """
+WITH once AS (
+  SELECT DISTINCT record_id, chunk_start, instance, quantity, probe_addr, rack, is_backup, value FROM gauge_records
+), slots AS (SELECT *, unnest(generate_series(1, len(value))) AS i FROM once),
+stored AS (
+  SELECT record_id, (i - 1)::INTEGER AS slot, chunk_start, value[i] AS v, quantity,
+    dense_rank() OVER (ORDER BY instance, quantity, probe_addr, rack, is_backup) AS series
+  FROM slots WHERE value[i] IS NOT NULL
+), ordered AS (
+  SELECT *, lag(v) OVER w AS before, row_number() OVER w AS place FROM stored
+  WINDOW w AS (PARTITION BY series ORDER BY chunk_start, record_id, slot)
+), marked AS (
+  SELECT *, CASE WHEN before IS NULL OR v <> before OR isnan(v) THEN 1 ELSE 0 END AS fresh FROM ordered
+), islands AS (SELECT *, sum(fresh) OVER (PARTITION BY series ORDER BY place) AS island FROM marked),
+sized AS (SELECT *, count(*) OVER (PARTITION BY series, island) AS size FROM islands),
+judged AS (
+  SELECT *, count(*) OVER s AS n, count(*) FILTER (size >= 15) OVER s AS held,
+    count(*) FILTER (size >= 15 AND fresh = 0) OVER s AS resting, sum(fresh) OVER s - 1 AS changes
+  FROM sized WINDOW s AS (PARTITION BY series)
+)
+SELECT record_id, slot, 'stuck' AS reason FROM judged
+WHERE size >= 15 AND held <= 0.5 * n AND changes >= 0.93 * (n - 1 - resting)
+UNION ALL
+SELECT record_id, slot, 'impossible' AS reason FROM stored LEFT JOIN quantity_limits USING (quantity)
+WHERE isnan(v) OR isinf(v) OR coalesce(v < lower_limit, false) OR coalesce(v > upper_limit, false)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         **metric_queries.SQL,
+        "p4_plain": _P4_SQL,
         "p2_found": f"SELECT plan_id, by_key FROM ({_p2_sql()}) "
         "WHERE n_rows > 0.02 * (SELECT count(*) FROM usage_samples)",
         "p2_keys": _p2_sql(),
