@@ -39,7 +39,7 @@ from tsq.plans.session import cut, join_small
 PARTIAL = "plan_id int, on_day int, by_values array<string>, n bigint, run binary"
 CELL = ["plan_id", "labels", "key", "on_day"]
 PIECE = 1 << 18  # hashes of one cell that a task unites at once
-BATCH = 1 << 20  # hashes of several cells that a task unites at once
+BATCH = 1 << 18  # hashes of several cells that a task unites at once
 ALL = -(1 << 31)  # the day of a cell over all days
 TWO_65 = float(1 << 65)
 

@@ -7,8 +7,9 @@ cluster, and no document waits for another.
 
 The size of a mix is ``total_tokens``, by default the tokens of all its sources.  A
 source's rate is target_share * size / tokens, at most max_repeats; a source held back
-by max_repeats (or without documents) leaves its tokens out, and the shares reported
-are those of the tokens really emitted.
+by max_repeats (or without documents) leaves its tokens out: the report has them as its
+shortfall, next to the shares of the tokens really emitted and the greatest size of the
+mix at which no source is held back.
 
 Defined results: sources are compared without case and outer blanks; NULL text has 0
 tokens and its document is emitted like others; documents of unlisted or NULL sources
@@ -32,6 +33,12 @@ def source_name(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, _BLANKS, ""))
 
 
+def character_sizes(docs: DataFrame, size: str = "n_chars") -> DataFrame:
+    """(doc_id, source, n_tokens) by a column of stored sizes instead of tokens."""
+    n = F.coalesce(F.col(size), F.lit(0)).cast("int")
+    return docs.select("doc_id", source_name(F.col("source")).alias("source"), n.alias("n_tokens"))
+
+
 def document_sizes(docs: DataFrame, path: str = vocab.DEFAULT_VOCAB) -> DataFrame:
     """(doc_id, source, n_tokens): encoded once, then kept in the shared folder."""
     tokens = encode.encode(docs.select("doc_id", "source", "text"), path=path)
@@ -40,8 +47,9 @@ def document_sizes(docs: DataFrame, path: str = vocab.DEFAULT_VOCAB) -> DataFram
 
 
 def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(mix_name, source, target_share, max_repeats, n_docs, source_tokens, rate): one
-    row for each row of ``targets``, a fixed table of a few rows."""
+    """(mix_name, source, target_share, max_repeats, n_docs, source_tokens, rate,
+    shortfall, uncapped_size): one row for each row of ``targets``, a fixed table of a
+    few rows."""
     first = Window.partitionBy("mix_name", "source").orderBy(F.desc("target_share"), "max_repeats")
     wanted = (
         targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
@@ -58,12 +66,22 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     rate = F.when(
         F.col("source_tokens") > 0, F.least(F.col("target_share") * size / F.col("source_tokens"), F.col("max_repeats"))
     ).otherwise(F.lit(0.0))
-    return known.withColumn("rate", rate)
+    # Whole where the cap holds; the least over a mix's sources is a size without cap.
+    most = F.col("max_repeats") * F.col("source_tokens") / F.col("target_share")
+    return known.withColumns(
+        {
+            "rate": rate,
+            "shortfall": F.greatest(F.col("target_share") * size - rate * F.col("source_tokens"), F.lit(0.0)),
+            "uncapped_size": F.min(F.when(F.col("target_share") > 0, most)).over(Window.partitionBy("mix_name")),
+        }
+    )
 
 
 def copies(rate: Column, *seed: Column) -> Column:
-    """floor(rate), plus one with a probability of the fraction by a hash of the seed."""
-    chance = F.pmod(F.xxhash64(*seed), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    """floor(rate), plus one with a probability of the fraction by 52 bits of the MD5 of
+    the seed's texts, joined by ``|``."""
+    digest = F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in seed])), 1, 13)
+    chance = F.conv(digest, 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
@@ -101,6 +119,8 @@ def shares(sizes: DataFrame, rated: DataFrame) -> DataFrame:
         "target_share",
         "max_repeats",
         "rate",
+        "shortfall",
+        "uncapped_size",
         "most_repeats",
         "mix_docs",
         "mix_tokens",

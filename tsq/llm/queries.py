@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(*_p7(spark, sf_dir))
 
 
+def p7_char_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with sizes in characters, which SQL can count too."""
+    sizes = mix.character_sizes(_table(spark, sf_dir, "documents"))
+    report = mix.shares(sizes, mix.rates(sizes, _table(spark, sf_dir, "mix_targets")))
+    digits = {c: F.round(c, 6) for c in ("rate", "shortfall", "uncapped_size", "actual_share")}
+    return report.withColumns(digits)
+
+
+def p7_char_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mix.character_sizes(_table(spark, sf_dir, "documents"))
+    return mix.mix(sizes, mix.rates(sizes, _table(spark, sf_dir, "mix_targets")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.found(_documents(spark, sf_dir, "text"))
 
@@ -93,6 +107,12 @@ def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measured(_documents(spark, sf_dir, "text"))
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated share of every document."""
+    shares = repetition.measured(_documents(spark, sf_dir, "text"))
+    return shares.select("doc_id", "n_letters", F.round("repeated_share", 9).alias("repeated_share"))
+
+
 def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.bands(repetition.measured(_documents(spark, sf_dir, "text"), share=False))
 
@@ -108,8 +128,11 @@ def queries() -> dict[str, Query]:
         p6_decoded,
         p7_mix,
         p7_shares,
+        p7_char_shares,
+        p7_char_mix,
         p8_found,
         p8_measures,
+        p8_shares,
         p8_bands,
     )
     return {f.__name__: f for f in every}
@@ -170,6 +193,83 @@ def _quantile_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_BLANKS = re.sub(r"\\u(....)", r"\\x{\1}", mix._BLANKS)
+_MIX_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(n_chars, 0)::BIGINT AS size,
+    lower(regexp_replace(source, '{_BLANKS}', '', 'g')) AS source FROM documents
+), targets AS (
+  SELECT mix_name, lower(regexp_replace(source, '{_BLANKS}', '', 'g')) AS source, target_share, max_repeats
+  FROM mix_targets
+), totals AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_tokens FROM docs GROUP BY 1),
+known AS (
+  SELECT mix_name, source, target_share, max_repeats, coalesce(n_docs, 0) AS n_docs,
+    coalesce(source_tokens, 0)::BIGINT AS source_tokens FROM targets LEFT JOIN totals USING (source)
+), sized AS (SELECT *, sum(source_tokens) OVER (PARTITION BY mix_name)::DOUBLE AS size FROM known),
+rated AS (
+  SELECT *, CASE WHEN source_tokens > 0 THEN least(target_share * size / source_tokens, max_repeats) ELSE 0.0 END::DOUBLE AS rate
+  FROM sized
+), chosen AS (
+  SELECT mix_name, doc_id, docs.source, docs.size AS n, rate,
+    ('0x' || substr(md5(mix_name || '|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS chance
+  FROM docs JOIN rated USING (source)
+), emitted AS (
+  SELECT mix_name, doc_id, source, n::INTEGER AS n_tokens,
+    (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS copies FROM chosen
+)
+"""
+
+_SHARES_SQL = (
+    _MIX_SQL
+    + """, sums AS (
+  SELECT mix_name, source, sum(n_tokens::BIGINT * copies)::BIGINT AS mix_tokens, sum(copies)::BIGINT AS mix_docs,
+    max(copies) AS most_repeats FROM emitted WHERE copies > 0 GROUP BY 1, 2
+), report AS (
+  SELECT mix_name, source, n_docs, source_tokens, target_share, max_repeats, rate,
+    greatest(target_share * size - rate * source_tokens, 0.0) AS shortfall,
+    min(CASE WHEN target_share > 0 THEN max_repeats * source_tokens / target_share END)
+      OVER (PARTITION BY mix_name) AS uncapped_size,
+    coalesce(most_repeats, 0) AS most_repeats, coalesce(mix_docs, 0) AS mix_docs, coalesce(mix_tokens, 0) AS mix_tokens
+  FROM rated LEFT JOIN sums USING (mix_name, source)
+)
+SELECT * REPLACE (round(rate, 6) AS rate, round(shortfall, 6) AS shortfall, round(uncapped_size, 6) AS uncapped_size),
+  round(CASE WHEN sum(mix_tokens) OVER w > 0 THEN mix_tokens / sum(mix_tokens) OVER w ELSE 0.0 END, 6)::DOUBLE AS actual_share
+FROM report WINDOW w AS (PARTITION BY mix_name)"""
+)
+
+# Units as in ``repetition.splitter``; a run is complete at 60 points, and the units
+# whose first point lies within the 60 points from a unit's first make its run.
+_UNSPACED_CLASS = f"[{repetition.UNSPACED}]"
+_SPOILT = r"[\x{00C2}-\x{00DF}][\x{00A0}-\x{00BF}]"
+_WORD = f"(?:{_SPOILT}|[^{repetition.UNSPACED}\\P{{L}}]|[^{repetition.UNSPACED}\\P{{N}}])+"
+_REPEATED_SQL = rf"""
+WITH clean AS (
+  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\p{{Cf}}\p{{M}}\x00-\x08\x0e-\x1f\x7f-\x9f]+', '', 'g'),
+    '\p{{Nd}}+(?:[.,:/\-]\p{{Nd}}+)*', '0', 'g') AS t FROM documents
+), listed AS (
+  SELECT doc_id, regexp_extract_all(t, '{_UNSPACED_CLASS}|{_WORD}') AS us FROM clean
+), units AS (
+  SELECT doc_id, unnest(generate_series(1, len(us))) AS i, lower(unnest(us)) AS u FROM listed
+), weighed AS (
+  SELECT doc_id, i, u, length(regexp_replace(u, '[^\p{{L}}]', '', 'g')) AS letters,
+    CASE WHEN regexp_full_match(u, '{_UNSPACED_CLASS}') THEN 5 ELSE 12 END AS points FROM units
+), placed AS (
+  SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - points AS s FROM weighed
+), runs AS (
+  SELECT *, string_agg(u, ' ') OVER r AS run, max(s + points) OVER r AS stop FROM placed
+  WINDOW r AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 59 FOLLOWING)
+), again AS (
+  SELECT *, CASE WHEN stop - s >= 60 AND i > min(i) OVER (PARTITION BY doc_id, run, stop - s >= 60) THEN stop END AS marks
+  FROM runs
+), covered AS (
+  SELECT doc_id, letters, coalesce(max(marks) OVER (PARTITION BY doc_id ORDER BY i), 0) > s AS repeated FROM again
+), shares AS (
+  SELECT doc_id, sum(letters)::BIGINT AS n_letters, coalesce(sum(letters) FILTER (repeated), 0) AS again
+  FROM covered GROUP BY 1
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_distinct": _distinct_sql(),
@@ -177,4 +277,12 @@ def oracle_sql() -> dict[str, str]:
         "p5_percentiles": _quantile_sql(),
         "p5_select": _quantile_sql(),
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_char_shares": _SHARES_SQL,
+        "p7_char_mix": _MIX_SQL
+        + "SELECT mix_name, doc_id, unnest(generate_series(1, copies))::INTEGER AS copy_no, source, n_tokens "
+        "FROM emitted WHERE copies > 0",
+        "p8_found": _REPEATED_SQL + "SELECT doc_id FROM shares WHERE n_letters > 0 AND again / n_letters > 1.0 / 3",
+        "p8_shares": _REPEATED_SQL
+        + "SELECT doc_id, coalesce(n_letters, 0) AS n_letters, "
+        "round(coalesce(again / nullif(n_letters, 0), 0), 9)::DOUBLE AS repeated_share FROM documents LEFT JOIN shares USING (doc_id)",
     }
