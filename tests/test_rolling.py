@@ -90,6 +90,23 @@ def test_entities_without_values_and_outside_rows(spark):
     assert (got.sum_7 == 0).all() and got.min_7.isna().all()
 
 
+def test_doubles_and_more_folds(spark, monkeypatch):
+    """Any associative fold over doubles; here the value of the greatest amount."""
+    further = lambda a, b: np.where(np.abs(b) > np.abs(a), b, a)
+    monkeypatch.setitem(rolling.FOLDS, "far", rolling.Fold("most", further, 0, 0.0))
+    rng = np.random.default_rng(2)
+    rows = [(i, datetime(2025, 1, 1) + timedelta(days=int(rng.integers(20))), "ab"[i % 2], float(rng.normal())) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id bigint, ts timestamp_ntz, account string, units double")
+    days = rolling.daily(df, "account", "ts", "units", "sample_id", FIRST, LAST)
+    for r in rolling.trailing(days, FIRST, LAST, [4], ["sum", "count", "min", "far"]).collect():
+        at = FIRST + timedelta(days=r["day"])
+        inside = [x for x in rows if x[2] == r["entity"] and 0 <= (at - x[1].date()).days < 4]
+        most = [max(x[3] for x in inside if x[1] == t) for t in {x[1] for x in inside}]
+        assert r["sum_4"] == pytest.approx(sum(x[3] for x in inside)) and r["count_4"] == len(inside)
+        assert r["min_4"] == min((x[3] for x in inside), default=None)
+        assert r["far_4"] == max(most, key=abs, default=0.0)
+
+
 def test_empty(spark):
     assert len(run(spark, [])) == 0
 

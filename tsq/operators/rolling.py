@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 import numpy as np
@@ -25,12 +26,31 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANES = 4096  # entities in one batch
-FOLDS: dict[str, tuple[Callable, float]] = {
-    "sum": (np.add, 0.0),
-    "min": (np.minimum, np.inf),
-    "max": (np.maximum, -np.inf),
+
+
+@dataclass(frozen=True)
+class Fold:
+    """An associative fold over days: the daily column it reads, its operation on arrays,
+    its neutral element for whole numbers and for doubles, and whether a window that
+    holds nothing is NULL (else the neutral element)."""
+
+    source: str
+    op: Callable
+    whole: int
+    real: float
+    null_if_empty: bool = False
+
+
+_LONG = np.iinfo(np.int64)
+# More folds may be added under names of their own.
+FOLDS: dict[str, Fold] = {
+    "sum": Fold("total", np.add, 0, 0.0),
+    "count": Fold("n", np.add, 0, 0.0),
+    "min": Fold("least", np.minimum, _LONG.max, np.inf, True),
+    "max": Fold("most", np.maximum, _LONG.min, -np.inf, True),
 }
 
 
@@ -82,17 +102,18 @@ def daily(
 def trailing(days: DataFrame, first: date, last: date, widths: Sequence[int], folds: Sequence[str]) -> DataFrame:
     """One row for each entity of ``days`` and each day of the calendar, with a column
     ``{fold}_{width}`` for each fold over the last ``width`` days, the day included."""
-    source = {"sum": "total", "min": "least", "max": "most"}
+    used = {f: FOLDS[f] for f in folds}
+    # Whole numbers stay whole, all others are doubles.
+    real = {f: not isinstance(days.schema[x.source].dataType, T.IntegralType) for f, x in used.items()}
+    neutral = {f: x.real if real[f] else x.whole for f, x in used.items()}
     names = [(f, w, f"{f}_{w}") for f in folds for w in widths]
     length = (last - first).days + 1
-    kinds = {"sum": "bigint", "min": "bigint", "max": "bigint"}
-    schema = "entity string, day int, " + ", ".join(f"{n} {kinds[f]}" for f, _, n in names)
-    arrow = pa.schema([("entity", pa.string()), ("day", pa.int32()), *[(n, pa.int64()) for _, _, n in names]])
+    schema = "entity string, day int, " + ", ".join(f"{n} {'double' if real[f] else 'bigint'}" for f, _, n in names)
+    kinds = [(n, pa.float64() if real[f] else pa.int64()) for f, _, n in names]
+    arrow = pa.schema([("entity", pa.string()), ("day", pa.int32()), *kinds])
 
     def windows(grid: np.ndarray, fold: str, width: int) -> np.ndarray:
-        op, _ = FOLDS[fold]
-        neutral = np.full(grid.shape[1], _neutral(fold))
-        queue = TwoStackQueue(op, neutral)
+        queue = TwoStackQueue(used[fold].op, np.full(grid.shape[1], neutral[fold]))
         out = np.empty_like(grid)
         for d in range(length):
             queue.push(grid[d])
@@ -104,8 +125,8 @@ def trailing(days: DataFrame, first: date, last: date, widths: Sequence[int], fo
     def results(entities: list[str], lanes: np.ndarray, at: np.ndarray, values: dict) -> pa.RecordBatch:
         grids = {}
         for fold in folds:
-            v, valid = values[source[fold]]
-            grid = np.full((length, len(entities)), _neutral(fold))
+            v, valid = values[used[fold].source]
+            grid = np.full((length, len(entities)), neutral[fold])
             grid[at[valid], lanes[valid]] = v[valid]
             grids[fold] = grid
         columns = [
@@ -114,7 +135,7 @@ def trailing(days: DataFrame, first: date, last: date, widths: Sequence[int], fo
         ]
         for fold, width, _ in names:
             out = windows(grids[fold], fold, width).T.ravel()
-            columns.append(pa.array(out, mask=None if fold == "sum" else out == _neutral(fold)))
+            columns.append(pa.array(out, mask=out == neutral[fold] if used[fold].null_if_empty else None))
         return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +160,7 @@ def trailing(days: DataFrame, first: date, last: date, widths: Sequence[int], fo
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         lanes = coded.indices.to_numpy().astype(np.int64)
         values = {}
-        for name in {source[f] for f in folds}:
+        for name in {x.source for x in used.values()}:
             col = table[name].combine_chunks()
             col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
             valid = col.is_valid().to_numpy(zero_copy_only=False)
@@ -152,13 +173,10 @@ def trailing(days: DataFrame, first: date, last: date, widths: Sequence[int], fo
                 entities[i : i + 512], lanes[part] - i, at[part], {k: (v[part], ok[part]) for k, (v, ok) in values.items()}
             )
 
+    columns = [F.col(x.source).cast("double" if real[f] else "long").alias(x.source) for f, x in used.items()]
+    days = days.select("entity", "day", *dict(zip([x.source for x in used.values()], columns)).values())
     spread = days.repartition("entity").sortWithinPartitions("entity", "day")
     return spread.mapInArrow(kernel, schema)
 
 
-def _neutral(fold: str) -> int:
-    limits = np.iinfo(np.int64)
-    return {"sum": 0, "min": limits.max, "max": limits.min}[fold]
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,7 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared folder (spark.checkpoint.dir); only a local session
-    without one gets a folder of its own."""
+    without one gets a folder of its own.
+
+    Checkpoints belong to the application: a subfolder made here is deleted when the
+    driver's Python ends.  Spark deletes single ones earlier, once their DataFrames are
+    gone, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -20,13 +25,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "tsq-checkpoints")
-    sc.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared)  # makes a subfolder of a new name
+    _delete_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this application when the driver's Python ends."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete() -> None:
+        try:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        except Exception:  # the JVM may be gone by then
+            pass
+
+    atexit.register(delete)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for a table that a query writes and reads."""
+    """A new path in the shared folder, for a table that a query writes and reads;
+    deleted when the driver's Python ends."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _delete_at_exit(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
