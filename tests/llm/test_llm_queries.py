@@ -11,7 +11,12 @@ import pytest
 from tests.oracle import assert_same, connect
 
 
-@pytest.mark.parametrize("name", ["p1_distinct", "p5_percentiles", "p5_select", "p6_decoded"])
+WITH_SQL = (
+    "p1_distinct p1_run_lengths p5_percentiles p5_select p6_decoded p7_char_shares p7_char_mix p8_found p8_shares".split()
+)
+
+
+@pytest.mark.parametrize("name", WITH_SQL)
 def test_query_matches_sql(spark, sf_dir, name):
     from tsq.llm import queries
 
@@ -19,7 +24,7 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert_same(got, connect(sf_dir).execute(queries.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["p1_runs", "p6_ids", "p7_mix", "p7_shares", "p8_found", "p8_measures", "p8_bands"])
+@pytest.mark.parametrize("name", ["p1_runs", "p6_ids", "p7_mix", "p7_shares", "p8_measures", "p8_bands"])
 def test_query_runs(spark, sf_dir, name):
     from tsq.llm import queries
 

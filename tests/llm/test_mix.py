@@ -42,6 +42,17 @@ def test_max_repeats_and_missing_sources(spark):
     assert rows.where("source = 'b' AND mix_name = 'm'").count() == 10
 
 
+def test_shortfall_and_the_size_without_caps(spark):
+    targets = [("m", "a", 0.5, 1), ("m", "b", 0.5, 2)]
+    got, _ = report(spark, {"a": 100, "b": 5}, targets)
+    # 105 documents of 100 tokens: b wants 5,250 and has at most 1,000.
+    assert got["m", "b"]["shortfall"] == pytest.approx(4250) and got["m", "a"]["shortfall"] == 0
+    most = got["m", "a"]["uncapped_size"]
+    assert most == got["m", "b"]["uncapped_size"] == pytest.approx(2000)
+    fits, _ = report(spark, {"a": 100, "b": 5}, targets, total_tokens=int(most))
+    assert all(r["shortfall"] == 0 for r in fits.values()) and fits["m", "b"]["mix_tokens"] == 1000
+
+
 def test_total_tokens(spark):
     got, _ = report(spark, {"a": 1000, "b": 1000}, [("m", "a", 0.25, 1), ("m", "b", 0.75, 1)], total_tokens=40_000)
     assert got["m", "a"]["rate"] == pytest.approx(0.1) and got["m", "b"]["mix_docs"] == pytest.approx(300, abs=50)

@@ -24,7 +24,7 @@ from tsq.plans.session import cut, let, literal_columns
 
 NO_RANK = vocab.PAIR_BASE
 AT_ONCE = 64  # ids of a unit from which on all pairs of a rank merge at once
-HOT_WORDS = 1 << 17
+HOT_WORDS = 1 << 18
 HOT_SLOTS = 1 << 20
 LONGEST_HOT = 48  # characters of a dictionary word: bounds the dictionary's bytes
 _tables: dict[tuple[str, str], list[Column]] = {}
