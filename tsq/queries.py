@@ -175,18 +175,67 @@ judged AS (
     count(*) FILTER (size >= 15 AND fresh = 0) OVER s AS resting, sum(fresh) OVER s - 1 AS changes
   FROM sized WINDOW s AS (PARTITION BY series)
 )
+"""
+_P4_PLAIN = """
 SELECT record_id, slot, 'stuck' AS reason FROM judged
 WHERE size >= 15 AND held <= 0.5 * n AND changes >= 0.93 * (n - 1 - resting)
 UNION ALL
 SELECT record_id, slot, 'impossible' AS reason FROM stored LEFT JOIN quantity_limits USING (quantity)
 WHERE isnan(v) OR isinf(v) OR coalesce(v < lower_limit, false) OR coalesce(v > upper_limit, false)
 """
+# Spikes by another way than the operator's: runs of at most four samples beyond the
+# limit from the median of the 21 samples around each.  Only the scatter is the same.
+_P4_SPIKES = """
+, possible AS (
+  SELECT record_id, slot, quantity, series, v, row_number() OVER (PARTITION BY series ORDER BY place) AS place
+  FROM ordered LEFT JOIN quantity_limits USING (quantity)
+  WHERE NOT (isnan(v) OR isinf(v) OR coalesce(v < lower_limit, false) OR coalesce(v > upper_limit, false))
+), p1 AS (
+  SELECT *, lag(v) OVER w AS b1, lag(v, 2) OVER w AS b2, lead(v) OVER w AS a1,
+    median(v) OVER (PARTITION BY series ORDER BY place ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS middle
+  FROM possible WINDOW w AS (PARTITION BY series ORDER BY place)
+), p2 AS (
+  SELECT *, abs(v + coalesce(a1, v) - coalesce(b1, v) - coalesce(b2, b1, v)) / 2 AS detail,
+    sum(CASE WHEN v = b1 THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY place) AS island,
+    CASE WHEN abs(v - round(v, 0)) <= 1e-9 * greatest(1, abs(v)) THEN 0
+      WHEN abs(v - round(v, 1)) <= 1e-9 * greatest(1, abs(v)) THEN 1
+      WHEN abs(v - round(v, 2)) <= 1e-9 * greatest(1, abs(v)) THEN 2
+      WHEN abs(v - round(v, 3)) <= 1e-9 * greatest(1, abs(v)) THEN 3
+      WHEN abs(v - round(v, 4)) <= 1e-9 * greatest(1, abs(v)) THEN 4
+      WHEN abs(v - round(v, 5)) <= 1e-9 * greatest(1, abs(v)) THEN 5
+      WHEN abs(v - round(v, 6)) <= 1e-9 * greatest(1, abs(v)) THEN 6 ELSE 7 END AS places
+  FROM p1
+), p3 AS (SELECT *, count(*) OVER (PARTITION BY series, island) AS size FROM p2),
+p4 AS (
+  SELECT *, lag(size) OVER (PARTITION BY series ORDER BY place) AS size_before,
+    count(*) FILTER (size < 15) OVER s AS n_moving, count(*) OVER s AS n FROM p3 WINDOW s AS (PARTITION BY series)
+), limits AS (
+  SELECT series, CASE WHEN any_value(quantity) = 'queue_len' THEN 100.0 ELSE 10 * greatest(
+    1.4826 * coalesce(quantile_disc(detail, 0.5) FILTER (size < 15 OR n_moving < 0.5 * n), 0),
+    coalesce(min(abs(v - b1)) FILTER (v <> b1 AND size > 4 AND size_before > 4), power(10.0, -max(places)))) END AS far
+  FROM p4 GROUP BY series HAVING count(*) >= 20
+), hot AS (
+  SELECT record_id, slot, series, place, CASE WHEN v - middle > far THEN 1 WHEN middle - v > far THEN -1 ELSE 0 END AS side
+  FROM p4 JOIN limits USING (series)
+), grouped AS (
+  SELECT *, place - row_number() OVER (PARTITION BY series, side ORDER BY place) AS excursion FROM hot
+)
+"""
+_P4_ALL = (
+    _P4_SQL
+    + _P4_SPIKES
+    + _P4_PLAIN
+    + "UNION ALL SELECT record_id, slot, 'spike' AS reason FROM (SELECT *, count(*) OVER (PARTITION BY series, side, excursion) "
+    "AS width FROM grouped) WHERE side <> 0 AND width <= 4"
+)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         **metric_queries.SQL,
-        "p4_plain": _P4_SQL,
+        "p4_flags": _P4_ALL,
+        "p4_found": f"SELECT DISTINCT record_id, slot FROM ({_P4_ALL})",
+        "p4_plain": _P4_SQL + _P4_PLAIN,
         "p2_found": f"SELECT plan_id, by_key FROM ({_p2_sql()}) "
         "WHERE n_rows > 0.02 * (SELECT count(*) FROM usage_samples)",
         "p2_keys": _p2_sql(),
