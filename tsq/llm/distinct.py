@@ -192,7 +192,9 @@ def _united(parts: DataFrame, with_runs: bool, batch: int) -> DataFrame:
 
     schema = _schema(names)
     kind = "plan_id int, labels int, key string, on_day int, hash_range int, bits int, n bigint"
-    ordered = parts.repartition(*keys).sortWithinPartitions(*keys)
+    # Sorted by one number first, which is far cheaper to compare than the keys.
+    hashed = parts.withColumn("_hash", F.xxhash64(*keys)).repartition("_hash")
+    ordered = hashed.sortWithinPartitions("_hash", *keys).drop("_hash")
     return ordered.mapInArrow(kernel, kind + (", run binary" if with_runs else ""))
 
 
@@ -230,15 +232,16 @@ def _combinations(cells: DataFrame, plans: list[dict]) -> DataFrame:
         k = len(p["by"])
         combos = []
         for mask in range(1 << k):
-            kept = [F.get("_values", F.lit(i)) for i in range(k) if mask >> i & 1]
-            key = F.col("key") if mask + 1 == 1 << k else _key(F.array(*kept).cast("array<string>"))
+            kept = F.array(*[F.get(values, F.lit(i)) for i in range(k) if mask >> i & 1])
+            # Parsed only where some labels are kept and some are not.
+            key = F.lit("[]") if not mask else F.col("key") if mask + 1 == 1 << k else _key(kept)
             for day in (F.lit(ALL), F.col("on_day")):
                 finest = F.lit(mask + 1 == 1 << k and len(combos) % 2 == 1)
                 cell = F.struct(F.lit(mask).alias("labels"), key.alias("key"), day.alias("on_day"), finest.alias("finest"))
                 combos.append(cell)
         of_plan = F.when(F.col("plan_id") == p["plan_id"], F.array(*combos)).otherwise(of_plan)
     rest = [c for c in cells.columns if c not in CELL]
-    exploded = cells.withColumn("_values", values).select("plan_id", F.explode(of_plan).alias("c"), *rest)
+    exploded = cells.select("plan_id", F.explode(of_plan).alias("c"), *rest)
     return exploded.select("plan_id", "c.*", *rest)
 
 
@@ -251,9 +254,9 @@ def distinct_counts(
     labels of the combination joined by ``|``, by_key their values with ``<null>`` for
     a missing one, on_day is YYYY-MM-DD or ``all``."""
     parts = cut(_cells(partials))
-    sizes = parts.groupBy(*CELL).agg(F.sum("n").alias("n"))
-    coarse_sizes = _combinations(sizes, plans).where(~F.col("finest")).select(*CELL, "n")
-    large = _large(sizes.unionByName(coarse_sizes), piece)
+    sizes = parts.select(*CELL, "n")
+    coarse = _combinations(sizes, plans).where(~F.col("finest")).select(*CELL, "n")
+    large = _large(sizes.unionByName(coarse), piece)
     merged = _united(_in_ranges(parts, large.where("labels < 0")), True, batch)
     # A cell's own count is the length of its merged run, so that run stays behind.  A
     # coarser cell is at least as large as its parts: what was cut before is cut into

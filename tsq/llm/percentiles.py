@@ -184,7 +184,9 @@ def _small(partials: DataFrame, daily_only: bool) -> DataFrame:
     key = F.array_join(F.transform("by_values", lambda x: F.coalesce(x, F.lit("\x00"))), "\x1f")
     keyed = partials.withColumn("key", key)
     out = "plan_id int, by_values array<string>, on_day int, n bigint, " + ", ".join(f"{x} double" for x in NAMES)
-    return keyed.repartition(*group).sortWithinPartitions(*group).mapInArrow(kernel, out)
+    # Sorted by one number first, which is far cheaper to compare than the keys.
+    hashed = keyed.withColumn("_hash", F.xxhash64(*group)).repartition("_hash")
+    return hashed.sortWithinPartitions("_hash", *group).drop("_hash").mapInArrow(kernel, out)
 
 
 def search(v: np.ndarray, begin: np.ndarray, end: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
