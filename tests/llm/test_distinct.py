@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -130,6 +131,45 @@ def test_small_batches(spark, monkeypatch):
     assert sorted(tuple(r)[:5] for r in distinct.distinct_counts(partials, PLANS).collect()) == brute(data)
 
 
+def test_a_batch_is_unpacked_in_slices(spark, monkeypatch):
+    """However many hashes Spark puts into a batch, a task unpacks a bounded number."""
+    whole, most = runs.unpack, 1000
+
+    def bounded(col):
+        values, run = whole(col)
+        if len(values) > most:
+            raise MemoryError(f"{len(values)} hashes at once")
+        return values, run
+
+    data = rows(6000)
+    monkeypatch.setattr(distinct, "SLICE", 64, raising=False)
+    monkeypatch.setattr(runs, "unpack", bounded)
+    partials = distinct.partial_runs(spark.createDataFrame(data, SCHEMA).repartition(1), PLANS, "ts")
+    assert sorted(tuple(r)[:5] for r in distinct.distinct_counts(partials, PLANS, 100, 64).collect()) == brute(data)
+
+
+def test_memory_of_unpacking():
+    h = np.sort(np.random.default_rng(3).integers(0, 2**64, 1 << 17, np.uint64))
+    col = pa.chunked_array([runs.pack(h, np.zeros(1, np.int64))])
+    tracemalloc.start()
+    try:
+        assert runs.unpack(col)[0].tolist() == h.tolist()
+        tracemalloc.reset_peak()
+        runs.unpack(col)
+        assert tracemalloc.get_traced_memory()[1] < 100 * len(h)
+    finally:
+        tracemalloc.stop()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 20), max_size=12), max_size=4), st.integers(1, 30))
+def test_slices(batches, values):
+    made = [pa.record_batch({"n": pa.array(b, pa.int64())}) for b in batches]
+    got = [s["n"].to_pylist() for s in runs.slices(made, values)]
+    assert [n for s in got for n in s] == [n for b in batches for n in b]
+    assert all(s and (sum(s) <= values or len(s) == 1) for s in got)
+
+
 def test_empty_and_only_null(spark):
     null = [(datetime(2025, 1, 1), "a", None, None, None, None, "x")]
     for data in ([], null):

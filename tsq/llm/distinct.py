@@ -38,8 +38,10 @@ from tsq.plans.session import cut, join_small
 
 PARTIAL = "plan_id int, on_day int, by_values array<string>, n bigint, run binary"
 CELL = ["plan_id", "labels", "key", "on_day"]
+RUN = [*CELL, "hash_range", "n", "run", "bits"]
 PIECE = 1 << 18  # hashes of one cell that a task unites at once
 BATCH = 1 << 18  # hashes of several cells that a task unites at once
+SLICE = 1 << 16  # hashes that a task takes from a batch of runs at once
 ALL = -(1 << 31)  # the day of a cell over all days
 TWO_65 = float(1 << 65)
 
@@ -114,27 +116,31 @@ def _in_ranges(parts: DataFrame, large: DataFrame) -> DataFrame:
     if not n_large:
         return parts.withColumn("bits", F.lit(0))
     known = join_small(parts.drop("bits"), large, CELL, n_large, "run", "left").fillna(0, ["bits"])
-    names = [*CELL, "hash_range", "n", "run", "bits"]
+    kind = "plan_id int, labels int, key string, on_day int, hash_range int, n bigint, run binary, bits int"
+    whole = known.where("bits = 0").select(*RUN)
+    return whole.unionByName(known.where("bits > 0").select(*RUN).mapInArrow(_range_kernel(), kind))
+
+
+def _range_kernel():
+    """Cuts runs (RUN) into the 2**bits ranges of their cells."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs.slices(batches, SLICE):
             table = pa.Table.from_batches([b])
             h, run = runs.unpack(table["run"])
             shift = (64 - table["bits"].to_numpy())[run].astype(np.uint64)
             part = (h >> shift).astype(np.int64)
             at = runs.starts_of(run, part)
             rows = pa.array(run[at])
-            columns = {c: table[c].take(rows) for c in names if c not in ("hash_range", "n", "run")}
+            columns = {c: table[c].take(rows) for c in RUN if c not in ("hash_range", "n", "run")}
             columns |= {
                 "hash_range": pa.array(part[at].astype(np.int32)),
                 "n": pa.array(np.diff(np.append(at, len(h)))),
                 "run": runs.pack(h, at),
             }
-            yield from pa.table({c: columns[c] for c in names}).cast(_schema(names)).to_batches()
+            yield from pa.table({c: columns[c] for c in RUN}).cast(_schema(RUN)).to_batches()
 
-    kind = "plan_id int, labels int, key string, on_day int, hash_range int, n bigint, run binary, bits int"
-    whole = known.where("bits = 0").select(*names)
-    return whole.unionByName(known.where("bits > 0").select(*names).mapInArrow(kernel, kind))
+    return kernel
 
 
 def _schema(names: list[str]) -> pa.Schema:
@@ -145,11 +151,19 @@ def _schema(names: list[str]) -> pa.Schema:
 def _united(parts: DataFrame, with_runs: bool, batch: int) -> DataFrame:
     """One row for each cell and range: the k-way union of its runs, and its length."""
     keys = [*CELL, "hash_range"]
-    names = [*keys, "bits", "n", *(["run"] if with_runs else [])]
+    kind = "plan_id int, labels int, key string, on_day int, hash_range int, bits int, n bigint"
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(_union_kernel(with_runs, batch), kind + (", run binary" if with_runs else ""))
+
+
+def _union_kernel(with_runs: bool, batch: int):
+    """Unites the runs of each cell and range, which follow each other.  It holds
+    ``batch`` hashes and a slice at once, or one cell's range where that is more."""
+    names = [*CELL, "hash_range", "bits", "n", *(["run"] if with_runs else [])]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in batches:
+        for b in runs.slices(batches, min(batch, SLICE)):
             held.append(b)
             n += int(b["n"].to_numpy().sum())
             if n < batch:
@@ -191,9 +205,7 @@ def _united(parts: DataFrame, with_runs: bool, batch: int) -> DataFrame:
         yield from pa.table(columns).cast(schema).to_batches()
 
     schema = _schema(names)
-    kind = "plan_id int, labels int, key string, on_day int, hash_range int, bits int, n bigint"
-    ordered = parts.repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(kernel, kind + (", run binary" if with_runs else ""))
+    return kernel
 
 
 def merge_runs(partials: DataFrame, piece: int = PIECE, batch: int = BATCH) -> DataFrame:

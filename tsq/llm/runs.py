@@ -28,6 +28,19 @@ def tables(batches, rows: int = BATCH):
         yield pa.Table.from_batches(held)
 
 
+def slices(batches, values: int):
+    """Arrow batches of runs cut between rows, so that the runs of a slice hold at most
+    ``values`` values (column n) together, but for a single run of more.  However many
+    bytes Spark puts into a batch, a kernel unpacks one slice of it at once."""
+    for b in batches:
+        upto = np.cumsum(b["n"].to_numpy())
+        at, before = 0, 0
+        while at < len(upto):
+            to = max(at + 1, int(np.searchsorted(upto, before + values, side="right")))
+            yield b.slice(at, to - at)
+            at, before = to, upto[to - 1]
+
+
 def codes(table: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A number for each row that is equal where all the columns are equal, NULL equal
     to NULL, and the first row of each number."""
@@ -126,17 +139,22 @@ def unpack(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = payload(col)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    last = raw < 128
-    end = np.flatnonzero(last)
+    end = np.flatnonzero(raw < 128)
     start = np.concatenate([[0], end[:-1] + 1])
-    place = np.arange(len(raw)) - np.repeat(start, end - start + 1)
-    parts = (raw & 127).astype(np.uint64) << (place * 7).astype(np.uint64)
-    d = np.add.reduceat(parts, start)
-    run = np.searchsorted(offsets, start, side="right") - 1
-    first = starts_of(run)
+    more = (end - start).astype(np.int8)  # bytes after the first
+    del end
+    # Byte by byte of all values, so that nothing is held for each byte of the runs.
+    d = (raw[start] & 127).astype(np.uint64)
+    for k in range(1, int(more.max()) + 1):
+        live = slice(None) if more.min() >= k else np.flatnonzero(more >= k)
+        d[live] |= (raw[start[live] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    count = np.diff(np.searchsorted(start, offsets))
+    del start
     total = np.cumsum(d)  # wraps; differences stay right
-    before = np.where(first > 0, total[first - 1], np.uint64(0))
-    return total - np.repeat(before, np.diff(np.append(first, len(d)))), run
+    size = count[count > 0]
+    first = np.cumsum(size) - size
+    total -= np.repeat(total[first] - d[first], size)
+    return total, np.repeat(np.arange(len(count)), count)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
